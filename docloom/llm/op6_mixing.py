@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTH
     met = docs.withColumn("mix_key", group).join(F.broadcast(rates), F.col("mix_key").eqNullSafe(F.col("mix_group")))
     u = uniform(seed, F.lit("count"), key)
     copies = met.withColumn("mix_u", u).withColumn("mix_times", F.size(F.filter("mix_table", lambda c: c <= F.col("mix_u")))).where("mix_times > 0")
-    out = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("mix_times"))).cast("long")).drop("mix_key", "mix_group", "mix_table", "mix_u", "mix_times")
+    out = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_times").cast("long")))).drop("mix_key", "mix_group", "mix_table", "mix_u", "mix_times")
     out = out.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), key, F.col("copy_no").cast("string"))))
     return out.orderBy("mix_order", id_col, "copy_no")
 
@@ -76,7 +76,7 @@ t AS (
 u AS (
   SELECT g.*, cs, ('0x' || substr(md5('{seed}:count:' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u
   FROM g JOIN t ON g.mix_group IS NOT DISTINCT FROM t.mix_group),
-e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, len(list_filter(cs, x -> x <= u)) + 1)) AS copy_no FROM u)
+e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, len(list_filter(cs, lambda x: x <= u)) + 1)) AS copy_no FROM u)
 SELECT doc_id, text, lang, source, n_chars, copy_no, md5('{seed}:order:' || doc_id || ':' || copy_no) AS mix_order FROM e
 """
 

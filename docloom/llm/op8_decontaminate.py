@@ -68,11 +68,12 @@ def occurrences(docs: DataFrame, prefix: DataFrame, shingle: int, broadcast: boo
         fits = (start >= 0) & (start + F.col("length") <= F.col("n"))
         same = F.slice("t", start + 1, F.col("length")) == F.col("w")
         if broadcast:
-            with_hashes = docs.where(F.size("t") >= k).withColumn("n", F.size("t")).withColumn("h", shingles("t", k))
-            met = with_hashes.select("id", "t", "n", F.posexplode("h").alias("place", "hash")).join(F.broadcast(own), "hash").where(fits).where(same)
+            # The outer form: else the optimizer adds a filter on the size of h and computes t anew in it for each place.
+            with_hashes = docs.withColumn("n", F.size("t")).withColumn("h", shingles("t", k))
+            met = with_hashes.select("id", "t", "n", F.posexplode_outer("h").alias("place", "hash")).join(F.broadcast(own), "hash").where(fits).where(same)
             part = met.select("id", start.alias("start"), "length", "w")
         else:
-            hashes = docs.where(F.size("t") >= k).select("id", F.size("t").alias("n"), F.posexplode(shingles("t", k)).alias("place", "hash"))
+            hashes = docs.select("id", F.size("t").alias("n"), shingles("t", k).alias("h")).select("id", "n", F.posexplode_outer("h").alias("place", "hash"))
             maybe = hashes.join(own, "hash").where(fits).select(F.col("id").alias("maybe"), start.alias("start"), "length", "w").distinct()
             part = docs.join(maybe, F.col("id").eqNullSafe(F.col("maybe"))).where(F.slice("t", F.col("start") + 1, F.col("length")) == F.col("w")).select("id", "start", "length", "w")
         found = part if found is None else found.union(part)
