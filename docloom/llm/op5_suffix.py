@@ -7,7 +7,8 @@ a subtree each: it is walked one word at a time, and its nodes of the depth that
 the right of the anchor, refined by the words to the left, are the repeats. Prefixes with more than
 ``group`` suffixes are lengthened to the whole window instead; these nodes only need their first
 occurrence, which a map-side minimum and a join give, so no task holds all copies of a passage.
-Every occurrence of a node but the first (least doc_id, then start) is a repeat.
+Every occurrence of a node but the first (least doc_id, then start) is a repeat. Texts whose whole word
+sequence a smaller doc_id has are repeats throughout and take no part.
 
 Defined results. Null, empty or wordless text: n_words 0, n_removed 0, the hash of the empty string.
 Fewer words than a window: nothing is removed. A repeated row has the same doc_id and starts as its
@@ -181,8 +182,6 @@ def group_repeats(grouped: DataFrame, window: int, prefix: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """(id, start, mask) of the windows of (id, text) whose words also start earlier."""
-    if not 0 < prefix <= window < prefix + 63:
-        raise ValueError("a window is at most 62 words longer than a prefix")
     every = all_anchors(docs, window, prefix)
     sizes = every.groupBy("gram").count().where("count > 1")
     shared = every.join(sizes, "gram").select("id", F.struct("place", (F.col("count") > group).alias("hot")).alias("at"))
@@ -196,20 +195,47 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     return group_repeats(grouped, window, prefix).union(later)
 
 
+def sequence_hashes(docs: DataFrame) -> DataFrame:
+    """(id, h1, h2): 128 bits of each text's word sequence; texts without words or id are left out."""
+    kind = dict(docs.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = [xxhash.xxh3_128_intdigest(b" ".join(w)) if (w := words_of(t)) else None for t in utf8_list(part.column(1))]
+            halves = [pa.array([x if x is None else x >> 64 for x in found], pa.uint64()), pa.array([x if x is None else x & (2**64 - 1) for x in found], pa.uint64())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(h.view(pa.int64()) for h in halves)], ["id", "h1", "h2"])
+
+    return arrow_map(docs, run, f"id {kind}, h1 long, h2 long").where("id IS NOT NULL AND h1 IS NOT NULL")
+
+
+def marked_copies(docs: DataFrame) -> DataFrame:
+    """(id, text) with ``copy``: whether a smaller id has the same word sequence.
+
+    All windows of a copy start earlier, and it is never the first to have one, so copies need no suffixes.
+    """
+    seen = sequence_hashes(docs)
+    first = seen.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = seen.join(first, ["h1", "h2"]).where("id <> first").select("id").distinct().withColumn("copy", F.lit(True))
+    return docs.join(copies, docs["id"].eqNullSafe(copies["id"]), "left").select(docs["id"], "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+
+
 def removal(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept (the words left, joined by a blank), kept_sha256."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    starts = repeated_windows(docs, window, prefix, group).groupBy("id").agg(F.collect_set(F.struct("start", "mask")).alias("starts"))
-    met = docs.join(starts, docs["id"].eqNullSafe(starts["id"]), "left").select(docs["id"], "text", "starts")
+    if not 0 < prefix <= window < prefix + 63:
+        raise ValueError("a window is at most 62 words longer than a prefix")
+    docs = marked_copies(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    firsts = docs.where("NOT copy").select("id", "text")
+    starts = repeated_windows(firsts, window, prefix, group).groupBy("id").agg(F.collect_set(F.struct("start", "mask")).alias("starts"))
+    met = docs.join(starts, docs["id"].eqNullSafe(starts["id"]), "left").select(docs["id"], "text", "copy", "starts")
     kind = dict(docs.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
             n, gone, kept, digest = [], [], [], []
-            for text, at in zip(utf8_list(part.column("text")), part.column("starts").to_pylist(), strict=True):
+            for text, copy, at in zip(utf8_list(part.column("text")), part.column("copy").to_pylist(), part.column("starts").to_pylist(), strict=True):
                 words = words_of(text)
                 n.append(len(words))
-                left = words
+                left = [] if copy and len(words) >= window else words
                 if at:
                     first = np.array([x["start"] + k for x in at for k in range(x["mask"].bit_length()) if x["mask"] >> k & 1])
                     edge = np.zeros(len(words) + 1, np.int32)
