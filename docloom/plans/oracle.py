@@ -195,6 +195,8 @@ def sql() -> dict[str, str]:
           FROM (SELECT doc_id, text, CASE WHEN len(list_filter(string_split(text, chr(10)), lambda x: len(x) - len(replace(x, '|', '')) >= 3)) > 0 THEN string_split(text, chr(10)) END AS l FROM ({noisy}))""",
         "t5_empty_ocr": f"SELECT doc_id, len(regexp_replace(regexp_replace(text, '{_MD_IMAGE}', ' ', 'g'), '[^A-Za-zА-Яа-яЁё0-9]', '', 'g')) < 8 AS is_empty FROM ({noisy})",
         "t6_content_lines": f"SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '{_MD_IMAGE}', ' ', 'g'), chr(10)), lambda x: lower({_FOLD.format('x')})), lambda x: x NOT IN ('', 'null', 'none', 'unknown', 'неизвестно', 'n/a', '-')))::INT AS n_lines FROM ({noisy})",
+        "t7_header_block": f"""SELECT doc_id, len(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, CASE WHEN regexp_matches(text, '(?i)\\b(test\\s+report|report)\\b') THEN len(regexp_extract(text, '(?is)^(.*?)\\b(test\\s+report|report)\\b', 1)) ELSE 1800 END), '{_MD_IMAGE}', ' ', 'g'),
+            '(?m)^#+\\s*', '', 'g'), '\\r\\n?', chr(10), 'g'), '[ \\t\\f\\v]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(160)))::INT AS n_chars FROM ({noisy})""",
         "t8_nullish": f"SELECT doc_id, CASE WHEN lower({_FOLD.format('text')}) NOT IN ('', 'null', 'none', 'unknown', 'неизвестно', 'n/a', '-') THEN md5({_FOLD.format('text')}) END AS text_md5 FROM ({noisy})",
         "t9_description": f"SELECT doc_id, md5(trim({_FOLD.format(chr(39).join(['regexp_replace(text, ', '<[^>]+>', ', ', ' ', ', ', 'g', ')']))}, ' .,')) AS text_md5 FROM ({noisy})",
         "scan_table_items": f"""SELECT doc_id, position, name AS description, hs_code, quantity::DOUBLE AS quantity, 'pcs' AS unit, price::DOUBLE AS price, cost::DOUBLE AS cost, c.country AS country_origin, c.code AS country_origin_code,
@@ -284,6 +286,10 @@ def sql() -> dict[str, str]:
         "s1_requests": f"SELECT doc_id, document_code, NULL::VARCHAR AS ocr_draft, NULL::VARCHAR AS model FROM ({_plain(REQUESTS)})",
         "s6_model_list": expected(_LISTS, "models"),
         "s7_currency_json": "SELECT o_orderkey AS key, ord, code, name FROM orders, (VALUES (0, 'A', 'Aa'), (1, 'B', 'Bb')) AS c(ord, code, name) WHERE o_orderkey % 3 = 0",
+        "s2_uploads": "SELECT doc_id, ['png', 'pdf', 'jpeg', 'txt', 'webp'][doc_id % 5 + 1] AS suffix, octet_length(encode(text))::INT AS n_bytes FROM documents",
+        "s3_data_urls": "SELECT doc_id, md5('data:' || ['image/png', NULL, 'image/jpeg', NULL, 'image/webp'][doc_id % 5 + 1] || ';base64,' || base64(encode(text))) AS url_md5 FROM documents",
+        "s5_visual_kind": "SELECT doc_id, ['image', 'pdf', 'image', 'unsupported', 'image'][doc_id % 5 + 1] AS kind FROM documents",
+        "s8_json_results": f"""SELECT '{{"doc_id":' || doc_id || ',"position":' || position || ',"description":"' || description || '"}}' AS line FROM ({sides}) WHERE description IS NOT NULL""",
         "r1_iso_date": expected(_OCR_DATES, "day"),
         "r2_country_code": expected(_OCR_CODES, "code"),
         "r3_kind_codes": expected(_KINDS, "address_kind", "doc_kind", "entity"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from docloom.functions import jsontext as js, protocol as pr, text as tx, values as va
 from docloom.operators import chunks, items as it, jobs, scan_table as st
 from docloom.plans import oracle
-from docloom.sources import dimensions as dim
+from docloom.sources import dimensions as dim, files
 from docloom.sources.rendered import HELPER, NOISY, SIDES, rendered_invoices, run, table
 from docloom.streaming.jobs import job_events
 
@@ -356,6 +356,33 @@ def s7_currency_json(spark, sf):
     return rows.select("key", F.posexplode("db").alias("ord", "row")).select("key", "ord", "row.code", "row.name")
 
 
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as uploaded files of several types."""
+    kinds = F.array(*[F.lit(x) for x in ("png", "PDF", "jpeg", "txt", "webp")])
+    path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")))
+    return table(spark, sf, "documents").select("doc_id", path.alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
+@_query
+def s2_uploads(spark, sf):
+    return _files(spark, sf).select("doc_id", files.suffix(F.col("path")).alias("suffix"), F.length("content").alias("n_bytes"))
+
+
+@_query
+def s3_data_urls(spark, sf):
+    return _files(spark, sf).select("doc_id", F.md5(files.data_url(F.col("path"), F.col("content"))).alias("url_md5"))
+
+
+@_query
+def s5_visual_kind(spark, sf):
+    return _files(spark, sf).select("doc_id", files.visual_kind(F.col("path")).alias("kind"))
+
+
+@_query
+def s8_json_results(spark, sf):
+    return run(spark, sf, SIDES).where("description IS NOT NULL").select(F.to_json(F.struct("doc_id", "position", "description")).alias("line"))
+
+
 # --- protocols (R*) ---
 _cased("r1_iso_date", "key", oracle.OCR_DATES, day=pr.iso_date)
 _cased("r2_country_code", "key", oracle.OCR_CODES, code=pr.country_code)
