@@ -1,7 +1,7 @@
 """Operator 10, fuzzy line dedup.
 
-Lines (parts between \\n) are normalised: lower case, digits to 0, everything but letters, digits and
-blanks dropped, white space folded. Equal normalised lines are one class. A 128-bit SimHash of a
+Lines (parts between \\n) are normalised: lower case, digits to 0, ASCII signs and
+controls dropped, white space folded. Equal normalised lines are one class. A 128-bit SimHash of a
 class's words is cut into four 32-bit blocks: two SimHashes that differ in at most three bits agree
 in a block, so joining on blocks finds all such pairs. They are links if their edit similarity, 1 -
 Levenshtein distance / longer length, is ``percent`` or more. Of each connected group of links the
@@ -17,7 +17,6 @@ ignored by ``line_dedup`` and carried along by ``dedup_lines``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +30,18 @@ from docloom.llm.op4_minhash import WordHash, mix
 
 MIN_WORDS, PERCENT, BITS = 5, 80, 3
 
-_DIGIT = re.compile(r"\d")
-_DROP = re.compile(r"[^\w\s]|_")
-_TOP = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
+#: On UTF-8 bytes of lower-cased text: digits to 0; ASCII signs and controls but white space go.
+_DIGITS = bytes(48 if 48 <= b <= 57 else b for b in range(256))
+_DROP = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122 or b in b"\t\n\x0b\x0c\r "))
+
+
+def normal_lines(text: str) -> list[list[bytes]]:
+    """The words of each normalised line."""
+    return [line.split() for line in text.lower().encode().translate(_DIGITS, _DROP).split(b"\n")]
 
 
 def normal(line: str) -> str:
-    return " ".join(_DROP.sub("", _DIGIT.sub("0", line.lower())).split())
+    return b" ".join(normal_lines(line)[0]).decode()
 
 
 def simhashes(of: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
@@ -64,15 +68,13 @@ def line_classes(docs: DataFrame, min_words: int, simhash: bool = True) -> DataF
         for part in slices(batches, 256):
             c1, c2, row, at, words, of = [], [], [], [], [], []
             for i, text in enumerate(part.column(1).to_pylist()):
-                for j, line in enumerate(text.split("\n") if text else ()):
-                    clean = normal(line)
-                    raw = clean.encode()
-                    own = raw.split(b" ")
-                    if not clean or len(own) < min_words:
+                for j, own in enumerate(normal_lines(text) if text else ()):
+                    if not own or len(own) < min_words:
                         continue
-                    h = xxhash.xxh3_128_intdigest(raw)
-                    of += [len(row)] * len(own)
-                    words += own
+                    h = xxhash.xxh3_128_intdigest(b" ".join(own))
+                    if simhash:
+                        of += [len(row)] * len(own)
+                        words += own
                     c1.append((h >> 64) - 2**63), c2.append((h & (2**64 - 1)) - 2**63), row.append(i), at.append(j)
             if row:
                 blocks = simhashes(np.array(of), hashed(words), len(row)).T if simhash else ()
