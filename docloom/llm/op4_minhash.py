@@ -46,20 +46,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class WordHash:
     """64-bit hashes of words, remembered up to a bound."""
 
     def __init__(self, most: int = 1 << 18):
-        self.known: dict[bytes, int] = {}
-        self.most = most
+        self.known, self.most = _Hashes(), most
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, out = self.known, np.empty(len(words), np.uint64)
-        if len(known) > self.most:
-            known.clear()
-        h = xxhash.xxh3_64_intdigest
-        out[:] = [known[w] if w in known else known.setdefault(w, h(w)) for w in words]
-        return out
+        if len(self.known) > self.most:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -36,7 +36,15 @@ def anchors(h: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.nda
     """Of a text's word hashes: gram hash and place of each anchor, first and last window start that it serves."""
     grams = shingle_hashes(h, prefix)
     span = window - prefix + 1
-    starts = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(h) - window + 1)
+    # The top half of the hash with the place below it: the least is the left-most of equals.
+    low = np.uint64(0xFFFFFFFF)
+    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    width = 1
+    while width < span:
+        step = min(width, span - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    starts = (least & low).astype(np.int64)
     first = np.concatenate(([0], np.flatnonzero(np.diff(starts)) + 1))
     last = np.concatenate((first[1:] - 1, [len(starts) - 1]))
     at = starts[first]
