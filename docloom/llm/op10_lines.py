@@ -7,6 +7,11 @@ in a block, so joining on blocks finds all such pairs. They are links if their e
 Levenshtein distance / longer length, is ``percent`` or more. Of each connected group of links the
 first occurrence, by doc_id and line number, is kept and every other line is removed.
 
+With ``bits`` None, as in the query and the pipeline, no SimHash gate stands before the edit check:
+candidates share one of 32 MinHash bands of 5-character shingles, and lengths of the same range, whose
+borders move with the band. A band has three rows in the ranges of short lines, whose shingles one
+changed word spoils most, up to five in those of long ones. Edit similarity alone makes the link.
+
 Lines of fewer than ``min_words`` normalised words are never removed.
 
 Defined results. Null text: no line, kept text null. Empty text: one empty line, kept. A repeated row's
@@ -17,7 +22,8 @@ ignored by ``line_dedup`` and carried along by ``dedup_lines``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,14 @@ from docloom.llm.components import link_components
 from docloom.llm.op4_minhash import WordHash, mix
 
 MIN_WORDS, PERCENT, BITS = 5, 80, 3
+#: Bands of shingles of so many characters, and the factor between the borders of length ranges.
+BANDS, SHINGLE, RANGE = 32, 5, 1.5
+#: Rows of a band in ranges that begin below so many characters.
+ROWS = ((48, 3), (150, 4), (1 << 62, 5))
+
+_RNG = np.random.Generator(np.random.PCG64(20240310))
+_A = _RNG.integers(0, 2**32, (BANDS, ROWS[-1][1]), dtype=np.uint32) | np.uint32(1)
+_P = _RNG.integers(0, 2**63, SHINGLE + 3, dtype=np.uint64) | np.uint64(1)
 
 #: On UTF-8 bytes of lower-cased text: digits to 0; ASCII signs and controls but white space go.
 _DIGITS = bytes(48 if 48 <= b <= 57 else b for b in range(256))
@@ -102,17 +116,89 @@ def line_texts(places: DataFrame, docs: DataFrame) -> DataFrame:
     return arrow_map(met, run, f"id {kind}, text string")
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
+def bands(lines: list[str]) -> np.ndarray:
+    """The keys of each line's bands, (line, band) int64; lines have SHINGLE characters or are padded to that."""
+    units = [np.frombuffer(x.ljust(SHINGLE).encode("utf-32-le", "replace"), np.uint32) for x in lines]
+    sizes = np.array([len(u) for u in units])
+    x = np.concatenate(units).astype(np.uint64)
+    x = mix(sum(x[i : len(x) - SHINGLE + 1 + i] * _P[i] for i in range(SHINGLE)))
+    # Shingles that reach into the next line go.
+    ends = np.cumsum(sizes)
+    inside = np.arange(len(x)) <= np.repeat(ends - SHINGLE, sizes)[: len(x)]
+    x = (x[inside] >> np.uint64(32)).astype(np.uint32)
+    first = np.concatenate(([0], np.cumsum(sizes - SHINGLE + 1)[:-1]))
+    log = np.log(sizes) / math.log(RANGE)
+    out = np.empty((len(lines), BANDS), np.int64)
+    for k in range(BANDS):
+        span = np.floor(log + k / BANDS)
+        rows = np.select([RANGE ** (span - k / BANDS) < most for most, _ in ROWS], [n for _, n in ROWS])
+        key = mix(span.astype(np.int64).view(np.uint64) * _P[SHINGLE] + np.uint64(k) * _P[SHINGLE + 1])
+        for r in range(ROWS[-1][1]):
+            least = np.minimum.reduceat(x * _A[k, r], first).astype(np.uint64)
+            key = np.where(r < rows, mix(key * _P[SHINGLE + 2] + least), key)
+        out[:, k] = key.view(np.int64)
+    return out
+
+
+def line_bands(texts: DataFrame) -> DataFrame:
+    """(id, text, bands) of line texts (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 512):
+            keys = bands(part.column(1).to_pylist()).reshape(-1)
+            offsets = pa.array(np.arange(part.num_rows + 1) * BANDS, pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(keys))], ["id", "text", "bands"])
+
+    return arrow_map(texts, run, "id struct<c1: long, c2: long>, text string, bands array<long>")
+
+
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, bits: int | None = BITS) -> DataFrame:
     """(id, lines): of each text (id, text) the numbers of the lines to remove."""
-    if not 0 <= bits <= 3:
+    if bits is not None and not 0 <= bits <= 3:
         raise ValueError("four blocks find pairs that differ in up to three bits")
     docs = docs.where("id IS NOT NULL AND text IS NOT NULL")
-    lines = line_classes(docs, min_words)
+    gate = bits is not None
+    lines = line_classes(docs, min_words, simhash=gate)
     place = F.struct("id", "line")
     classes = stage(
-        lines.groupBy("c1", "c2").agg(F.min(place).alias("first"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(4)], F.count("*").alias("n")),
+        lines.groupBy("c1", "c2").agg(F.min(place).alias("first"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(4 if gate else 0)], F.count("*").alias("n")),
         "lines",
     ).withColumn("cls", F.struct("c1", "c2"))
+    labels = _gated_links(classes, docs, percent, bits) if gate else _links(classes, docs, percent)
+    grouped = classes.join(labels.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    heads = grouped.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    kept = grouped.join(heads, "component").select("c1", "c2", F.col("head.id").alias("head_id"), F.col("head.line").alias("head_line"))
+    gone = line_classes(docs, min_words, simhash=False).join(kept, ["c1", "c2"]).where("NOT (id = head_id AND line = head_line)")
+    return gone.groupBy("id").agg(F.collect_set("line").alias("lines"))
+
+
+def _confirm(percent: int) -> Callable[[DataFrame], DataFrame]:
+    def confirm(pairs: DataFrame) -> DataFrame:
+        longer = F.greatest(F.length("text_a"), F.length("text_b"))
+        most = (longer * (100 - percent) / 100).cast("int")
+        fits = pairs.withColumn("most", most).where(F.abs(F.length("text_a") - F.length("text_b")) <= F.col("most"))
+        return fits.where(F.expr("levenshtein(text_a, text_b, most) >= 0")).select("a", "b")
+
+    return confirm
+
+
+def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Components of the classes' links by edit similarity alone."""
+    places = classes.select(F.col("cls").alias("id"), F.col("first.id").alias("of"), F.col("first.line").alias("line"))
+    held = stage(line_bands(line_texts(places, docs)), "bands")
+    nodes = held.select("id", F.length("text").alias("size"))
+    buckets = held.select(F.explode("bands").alias("key"), "id")
+
+    def near(a: str, b: str) -> F.Column:
+        a, b = F.col(f"{a}size"), F.col(f"{b}size")
+        return F.abs(a - b) <= (F.greatest(a, b) * (100 - percent) / 100).cast("int")
+
+    texts = lambda ids: held.select("id", "text").join(ids, "id", "left_semi")
+    return link_components(buckets, nodes, near, texts, _confirm(percent))
+
+
+def _gated_links(classes: DataFrame, docs: DataFrame, percent: int, bits: int) -> DataFrame:
+    """Components of the classes' links within ``bits`` bits of SimHash."""
     nodes = classes.select(F.col("cls").alias("id"), *[f"b{i}" for i in range(4)])
     buckets = classes.select(F.explode(F.array(*[F.xxhash64(F.lit(i), f"b{i}") for i in range(4)])).alias("key"), F.col("cls").alias("id"))
 
@@ -126,18 +212,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PE
         places = classes.join(ids.select(F.col("id").alias("cls")), "cls", "left_semi").select(F.col("cls").alias("id"), F.col("first.id").alias("of"), F.col("first.line").alias("line"))
         return line_texts(places, docs)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        longer = F.greatest(F.length("text_a"), F.length("text_b"))
-        most = (longer * (100 - percent) / 100).cast("int")
-        fits = pairs.withColumn("most", most).where(F.abs(F.length("text_a") - F.length("text_b")) <= F.col("most"))
-        return fits.where(F.expr("levenshtein(text_a, text_b, most) >= 0")).select("a", "b")
-
-    labels = link_components(buckets, nodes, near, texts, confirm)
-    grouped = classes.join(labels.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    heads = grouped.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    kept = grouped.join(heads, "component").select("c1", "c2", F.col("head.id").alias("head_id"), F.col("head.line").alias("head_line"))
-    gone = line_classes(docs, min_words, simhash=False).join(kept, ["c1", "c2"]).where("NOT (id = head_id AND line = head_line)")
-    return gone.groupBy("id").agg(F.collect_set("line").alias("lines"))
+    return link_components(buckets, nodes, near, texts, _confirm(percent))
 
 
 def _with_kept(docs: DataFrame, id_col: str, text_col: str, removed: DataFrame) -> DataFrame:
@@ -150,16 +225,16 @@ def _with_kept(docs: DataFrame, id_col: str, text_col: str, removed: DataFrame)
     return met.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("kept_text", F.when(F.col("n_removed") > 0, stay).otherwise(F.col(text_col)))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT, bits: int | None = BITS) -> DataFrame:
     """One row per input row: id, n_lines, n_removed, kept_text."""
     docs = docs.select(id_col, text_col)
-    removed = removed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_words, percent)
+    removed = removed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_words, percent, bits)
     return _with_kept(docs, id_col, text_col, removed).select(id_col, "n_lines", "n_removed", "kept_text")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_words: int = MIN_WORDS, percent: int = PERCENT, bits: int | None = BITS) -> DataFrame:
     """``docs`` with repeated lines cut out of the text (and its length redone); those that lose all words go."""
-    removed = removed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_words, percent)
+    removed = removed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_words, percent, bits)
     met = _with_kept(docs, id_col, text_col, removed).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(dict(docs.dtypes).get(chars_col, "long"))).otherwise(F.col(chars_col)) if chars_col in docs.columns else None
     return met.select(*[F.col("kept_text").alias(c) if c == text_col else length.alias(c) if c == chars_col else F.col(c) for c in docs.columns])

@@ -478,3 +478,24 @@ def test_line_dedup_edge_rows(spark):
     assert all(r.n_removed == 0 for r in got if r.doc_id is None)
     assert len({r.kept_text for r in got if r.doc_id == 20}) == 1
     assert op10_lines.line_dedup(docs.limit(0)).count() == 0
+
+
+def test_lines_are_linked_by_edit_similarity_alone(spark):
+    """Recall of the bands against edit similarity of all pairs, without a SimHash."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(3, 8)))
+    texts, at = {}, 0
+    for n in (5, 6, 8, 10, 15, 20, 27, 50, 100):
+        for _ in range(12):
+            line = [word() for _ in range(n)]
+            other = list(line)
+            for k in rng.sample(range(n), max(1, n // 10)):
+                other[k] = word()
+            texts[at], texts[at + 1] = " ".join(line), " ".join(other)
+            at += 2
+    limit = lambda a, b: int(max(len(a), len(b)) * 0.2)
+    linked = {i for i in range(0, at, 2) if distance(texts[i], texts[i + 1]) <= limit(texts[i], texts[i + 1])}
+    got = {r.doc_id: r.n_removed for r in op10_lines.line_dedup(frame(spark, texts), bits=None).collect()}
+    gone = {i - 1 for i, n in got.items() if n}
+    assert len(linked) >= 60 and gone <= linked and len(gone) >= 0.95 * len(linked)
+    assert sum(r.n_removed for r in op10_lines.line_dedup(frame(spark, texts)).collect()) < 0.2 * len(linked)
