@@ -12,7 +12,10 @@ candidates share one of 32 MinHash bands of 5-character shingles, and lengths of
 borders move with the band. A band has three rows in the ranges of short lines, whose shingles one
 changed word spoils most, up to five in those of long ones. Edit similarity alone makes the link.
 
-Lines of fewer than ``min_words`` normalised words are never removed.
+Lines of fewer than ``min_words`` normalised words are never removed. With ``min_words`` 0, as in the
+query and the pipeline, all lines but blank ones take part: those of five words or, as scripts without
+blanks need, 20 characters are compared as above, shorter ones are removed only if an equal normalised
+line came before. A line of signs alone is compared as it is written, without white space around it.
 
 Defined results. Null text: no line, kept text null. Empty text: one empty line, kept. A repeated row's
 lines have the same doc_id and line numbers as its twin's; they are one occurrence, so the row gets the
@@ -37,6 +40,8 @@ from docloom.llm.op4_minhash import WordHash, mix
 MIN_WORDS, PERCENT, BITS = 5, 80, 3
 #: Bands of shingles of so many characters, and the factor between the borders of length ranges.
 BANDS, SHINGLE, RANGE = 32, 5, 1.5
+#: Shorter lines, of fewer words than MIN_WORDS, are only compared for equality.
+LEAST_CHARS = 20
 #: Rows of a band in ranges that begin below so many characters.
 ROWS = ((48, 3), (150, 4), (1 << 62, 5))
 
@@ -82,10 +87,12 @@ def line_classes(docs: DataFrame, min_words: int, simhash: bool = True) -> DataF
         for part in slices(batches, 256):
             c1, c2, row, at, words, of = [], [], [], [], [], []
             for i, text in enumerate(part.column(1).to_pylist()):
+                raw = text.split("\n") if text and min_words <= 0 else ()
                 for j, own in enumerate(normal_lines(text) if text else ()):
-                    if not own or len(own) < min_words:
+                    signs = raw[j].strip().encode("utf-8", "replace") if raw and not own else b""
+                    if not (own or signs) or len(own) < min_words:
                         continue
-                    h = xxhash.xxh3_128_intdigest(b" ".join(own))
+                    h = xxhash.xxh3_128_intdigest(b" ".join(own) if own else b"\0" + signs)
                     if simhash:
                         of += [len(row)] * len(own)
                         words += own
@@ -158,6 +165,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PE
         raise ValueError("four blocks find pairs that differ in up to three bits")
     docs = docs.where("id IS NOT NULL AND text IS NOT NULL")
     gate = bits is not None
+    if gate and min_words < 1:
+        raise ValueError("a SimHash is one of words")
     lines = line_classes(docs, min_words, simhash=gate)
     place = F.struct("id", "line")
     classes = stage(
@@ -185,7 +194,8 @@ def _confirm(percent: int) -> Callable[[DataFrame], DataFrame]:
 def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Components of the classes' links by edit similarity alone."""
     places = classes.select(F.col("cls").alias("id"), F.col("first.id").alias("of"), F.col("first.line").alias("line"))
-    held = stage(line_bands(line_texts(places, docs)), "bands")
+    long = (F.length("text") >= LEAST_CHARS) | (F.size(F.split("text", " ")) >= MIN_WORDS)
+    held = stage(line_bands(line_texts(places, docs).where(long)), "bands")
     nodes = held.select("id", F.length("text").alias("size"))
     buckets = held.select(F.explode("bands").alias("key"), "id")
 

@@ -52,7 +52,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = op10_lines.line_dedup(_table(spark, sf_dir, "documents"), bits=None)
+    lines = op10_lines.line_dedup(_table(spark, sf_dir, "documents"), min_words=0, bits=None)
     return lines.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -499,3 +499,11 @@ def test_lines_are_linked_by_edit_similarity_alone(spark):
     gone = {i - 1 for i, n in got.items() if n}
     assert len(linked) >= 60 and gone <= linked and len(gone) >= 0.95 * len(linked)
     assert sum(r.n_removed for r in op10_lines.line_dedup(frame(spark, texts)).collect()) < 0.2 * len(linked)
+
+
+def test_short_lines_are_removed_if_equal(spark):
+    texts = {1: "Read more\n* * *\n\nLes.", 2: "read more!\nabcdef\n* * *\n---\n \n\nles", 3: "abcdeg\n---\n\u4f60\u597d\u4e16\u754c", 4: "\u4f60\u597d\u4e16\u754c\n***"}
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(30))
+    texts |= {5: han, 6: han[:12] + "\u4f60" + han[13:]}
+    got = {r.doc_id: r.kept_text for r in op10_lines.line_dedup(frame(spark, texts), min_words=0, bits=None).collect()}
+    assert got == {1: texts[1], 2: "abcdef\n---\n \n", 3: "abcdeg\n\u4f60\u597d\u4e16\u754c", 4: "***", 5: han, 6: ""}
