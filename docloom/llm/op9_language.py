@@ -11,6 +11,12 @@ The text model is fitted on a bounded sample: of each language, the ``per_langua
 documents with the least hash of their id (texts of at most ``sample_chars`` characters are cut in the
 sample only, scored rows are read whole). Everything else is computed over all rows.
 
+Texts of no language of the model are ``other``. Each labelled sample is scored by a model of the other
+half of it; a language's floor is ``DEVIATIONS`` deviations below the median of these scores for each
+trigram, where a text of n trigrams deviates as documents do and by 1/n of what single trigrams do. A
+fifth class has the likelihood that the text would have on the floor of the language it exceeds most, or
+falls short of least. A language of fewer than ``LEAST_FLOOR`` labelled documents has no floor.
+
 Defined results. Null or empty text: the likelihood says nothing; the other evidence decides. No
 evidence at all: the corpus prior decides and ``known`` is false. A missing host takes the corpus
 prior. Ties go to the first language in alphabetical order. Repeated rows give one row each with the
@@ -21,6 +27,7 @@ gives an empty result.
 from __future__ import annotations
 
 import html as html_lib
+import math
 import re
 from collections.abc import Iterator
 
@@ -36,6 +43,9 @@ SLOTS = 1 << 16
 TEMPER, AGREE, STRENGTH = 0.25, 0.9, 20.0
 #: Country suffixes that speak for a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
+#: Deviations from the mean score of a language's texts to its floor; labelled documents that a floor takes.
+DEVIATIONS, LEAST_FLOOR = 5.0, 8
+OTHER, OTHER_PRIOR = "other", 0.1
 #: A row's language is accepted at this posterior.
 ACCEPT = 0.5
 
@@ -59,38 +69,68 @@ def slots(text: bytes) -> np.ndarray:
     return (x >> 16).astype(np.int64)
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, languages: tuple[str, ...], per_language: int, sample_chars: int = SAMPLE_CHARS) -> np.ndarray:
-    """(slot, language) log likelihoods from the bounded sample; even where nothing was seen."""
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, languages: tuple[str, ...], per_language: int, sample_chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, language) log likelihoods from the bounded sample, even where nothing was seen; ``floors``."""
     ids: list = []
     for lang in languages:  # two narrow columns are scanned; per_language rows come back
         own = docs.where((F.col(lang_col) == lang) & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
         ids += [r[0] for r in own.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(per_language).collect()]
-    table = np.full((SLOTS, len(languages)), 0.5)
-    sample = docs.where(F.col(id_col).isin(ids) & F.col(lang_col).isin(list(languages))).select(lang_col, F.substring(text_col, 1, sample_chars).alias("text")) if ids else None
+    table = np.full((2, SLOTS, len(languages)), 0.25)
+    sample = None
+    if ids:
+        half = F.pmod(F.xxhash64(F.lit("half"), id_col), F.lit(2)).cast("int")
+        sample = docs.where(F.col(id_col).isin(ids) & F.col(lang_col).isin(list(languages))).select(lang_col, F.substring(text_col, 1, sample_chars).alias("text"), half.alias("half"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((SLOTS, len(languages)), np.int64)
+        seen = np.zeros((2, SLOTS, len(languages)), np.int64)
         for part in slices(batches):
-            for lang, text in zip(part.column(0).to_pylist(), utf8_list(part.column(1)), strict=True):
+            for lang, text, half in zip(part.column(0).to_pylist(), utf8_list(part.column(1)), part.column(2).to_pylist(), strict=True):
                 if text and text.strip():
-                    seen[:, languages.index(lang)] += np.bincount(slots(text), minlength=SLOTS)
-        at, lang = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(lang), pa.array(seen[at, lang])], ["slot", "lang", "n"])
+                    seen[half, :, languages.index(lang)] += np.bincount(slots(text), minlength=SLOTS)
+        half, at, lang = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(half), pa.array(at), pa.array(lang), pa.array(seen[half, at, lang])], ["half", "slot", "lang", "n"])
 
     if sample is not None:
-        for r in arrow_map(sample, counts, "slot long, lang long, n long").groupBy("slot", "lang").agg(F.sum("n").alias("n")).collect():
-            table[r.slot, r.lang] += r.n
-    return np.log(table / table.sum(0)).astype(np.float32)
+        for r in arrow_map(sample, counts, "half long, slot long, lang long, n long").groupBy("half", "slot", "lang").agg(F.sum("n").alias("n")).collect():
+            table[r.half, r.slot, r.lang] += r.n
+    logs = lambda t: np.log(t / t.sum(0)).astype(np.float32)
+    return logs(table.sum(0)), floors(sample, logs(table[0] + 0.25), logs(table[1] + 0.25), languages)
+
 
+def floors(sample: DataFrame | None, first: np.ndarray, second: np.ndarray, languages: tuple[str, ...]) -> np.ndarray:
+    """(language, 3): mean score for each trigram of texts that the half's model did not see, variance of
+    texts and of single trigrams; the mean is -inf without a floor."""
+    out = np.tile([-np.inf, 0.0, 0.0], (len(languages), 1))
+    if sample is None:
+        return out
 
-def evidence(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...], is_html: bool) -> DataFrame:
-    """rows (id, text, declared, host) -> (id, host, domain, declared, l0..): log evidence but for the host's."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            rows = []
+            for lang, text, half in zip(part.column(0).to_pylist(), utf8_list(part.column(1)), part.column(2).to_pylist(), strict=True):
+                if text and text.strip():
+                    x = (first if half else second)[slots(text), languages.index(lang)].astype(np.float64)
+                    rows.append((languages.index(lang), x.mean(), x.var()))
+            lang, mean, var = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int64()), pa.array(mean, pa.float64()), pa.array(var, pa.float64())], ["lang", "mean", "var"])
+
+    scored = arrow_map(sample, run, "lang long, mean double, var double")
+    seen = np.array([(r.lang, r.mean, r.var) for r in scored.select("lang", "mean", "var").collect()]).reshape(-1, 3)
+    for i in range(len(languages)):
+        _, mean, var = seen[seen[:, 0] == i].T
+        if len(mean) >= LEAST_FLOOR:  # medians, as some labels are wrong
+            out[i] = (np.median(mean), (1.4826 * np.median(np.abs(mean - np.median(mean)))) ** 2, np.median(var))
+    return out
+
+
+def evidence(rows: DataFrame, model: np.ndarray, limits: np.ndarray, languages: tuple[str, ...], is_html: bool) -> DataFrame:
+    """rows (id, text, declared, host) -> (id, host, domain, declared, told, other, l0..): log evidence but for the host's."""
     kind = dict(rows.dtypes)["id"]
     count = len(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
-            out, declared, domains, told = [], [], [], []
+            out, declared, domains, told, others = [], [], [], [], []
             raw = part.column("text")
             texts = raw.to_pylist() if is_html else utf8_list(raw)
             for text, said, host in zip(texts, part.column("declared").to_pylist(), part.column("host").to_pylist(), strict=True):
@@ -100,7 +140,11 @@ def evidence(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...], is_
                 score = np.zeros(count)
                 has = bool(text and text.strip())
                 if has:
-                    score += TEMPER * model[slots(text)].sum(axis=0, dtype=np.float64)
+                    at = slots(text)
+                    score += TEMPER * model[at].sum(axis=0, dtype=np.float64)
+                    floor = limits[:, 0] - DEVIATIONS * np.sqrt(limits[:, 1] + limits[:, 2] / len(at))
+                    over = float((score - TEMPER * len(at) * floor).max())
+                others.append(float(score.max()) - over if has and over < np.inf else -np.inf)
                 said = said.lower()[:2] if said else None
                 if said in languages:
                     score += np.log(np.where(np.arange(count) == languages.index(said), AGREE, (1 - AGREE) / (count - 1)))
@@ -113,9 +157,9 @@ def evidence(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...], is_
                 domains.append(".".join(labels[-2:]) if labels else None)
                 told.append(has or said in languages or suffix in languages)
             scores = np.array(out)
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("host"), pa.array(domains, pa.string()), pa.array(declared, pa.string()), pa.array(told, pa.bool_()), *(pa.array(np.ascontiguousarray(scores[:, i])) for i in range(count))], ["id", "host", "domain", "declared", "told", *(f"l{i}" for i in range(count))])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("host"), pa.array(domains, pa.string()), pa.array(declared, pa.string()), pa.array(told, pa.bool_()), pa.array(others, pa.float64()), *(pa.array(np.ascontiguousarray(scores[:, i])) for i in range(count))], ["id", "host", "domain", "declared", "told", "other", *(f"l{i}" for i in range(count))])
 
-    return arrow_map(rows.select("id", "text", "declared", "host"), run, f"id {kind}, host string, domain string, declared string, told boolean, " + ", ".join(f"l{i} double" for i in range(count)))
+    return arrow_map(rows.select("id", "text", "declared", "host"), run, f"id {kind}, host string, domain string, declared string, told boolean, other double, " + ", ".join(f"l{i} double" for i in range(count)))
 
 
 def _posterior(logs: list[F.Column]) -> list[F.Column]:
@@ -126,10 +170,11 @@ def _posterior(logs: list[F.Column]) -> list[F.Column]:
 
 
 def fuse(seen: DataFrame, languages: tuple[str, ...], strength: float = STRENGTH) -> DataFrame:
-    """Adds p0.. (posteriors with the host prior) to ``evidence`` rows."""
+    """Adds p0.. (posteriors with the host prior) and that of other texts, the last p, to ``evidence`` rows."""
     count = len(languages)
     soft = _posterior([F.col(f"l{i}") for i in range(count)])
-    own = seen.where("told").select("host", "domain", *[soft[i].alias(f"s{i}") for i in range(count)])
+    other = F.col("other") + math.log(OTHER_PRIOR)
+    own = seen.where(F.col("told") & (other < F.greatest(*[F.col(f"l{i}") for i in range(count)]))).select("host", "domain", *[soft[i].alias(f"s{i}") for i in range(count)])
     by_host = own.groupBy("host", "domain").agg(*[F.sum(f"s{i}").alias(f"h{i}") for i in range(count)])
     by_domain = by_host.groupBy("domain").agg(*[F.sum(f"h{i}").alias(f"d{i}") for i in range(count)])
     row = by_domain.agg(*[F.sum(f"d{i}") for i in range(count)]).first()
@@ -139,18 +184,18 @@ def fuse(seen: DataFrame, languages: tuple[str, ...], strength: float = STRENGTH
     domains = by_domain.where("domain IS NOT NULL").select("domain", *[((F.col(f"d{i}") + float(strength * whole[i])) / (total("d") + strength)).alias(f"q{i}") for i in range(count)])
     hosts = by_host.join(domains, "domain").select("host", *[F.log((F.col(f"h{i}") + strength * F.col(f"q{i}")) / (total("h") + strength)).alias(f"a{i}") for i in range(count)])
     met = seen.join(hosts, "host", "left").select("*", *[F.lit(float(np.log(whole[i]))).alias(f"g{i}") for i in range(count)])
-    final = _posterior([F.col(f"l{i}") + F.coalesce(F.col(f"a{i}"), F.col(f"g{i}")) for i in range(count)])
-    return met.select("id", "host", "declared", "told", *[final[i].alias(f"p{i}") for i in range(count)])
+    final = _posterior([F.col(f"l{i}") + F.coalesce(F.col(f"a{i}"), F.col(f"g{i}")) for i in range(count)] + [other])
+    return met.select("id", "host", "declared", "told", *[final[i].alias(f"p{i}") for i in range(count + 1)])
 
 
 def identify(rows: DataFrame, labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, is_html: bool = False, per_language: int = PER_LANGUAGE, label_id: str = "doc_id", label_text: str = "text", label_lang: str = "lang") -> DataFrame:
     """rows (id, text, declared, host) -> id, lang, confidence, declared, known: one row per input row."""
     languages = tuple(sorted(languages))
-    model = fit(labelled, label_id, label_text, label_lang, languages, per_language)
-    fused = fuse(stage(evidence(rows, model, languages, is_html), "evidence"), languages)
-    best = F.greatest(*[F.col(f"p{i}") for i in range(len(languages))])
-    lang = F.lit(languages[-1])
-    for i in reversed(range(len(languages) - 1)):
+    model, limits = fit(labelled, label_id, label_text, label_lang, languages, per_language)
+    fused = fuse(stage(evidence(rows, model, limits, languages, is_html), "evidence"), languages)
+    best = F.greatest(*[F.col(f"p{i}") for i in range(len(languages) + 1)])
+    lang = F.lit(OTHER)
+    for i in reversed(range(len(languages))):
         lang = F.when(F.col(f"p{i}") == best, F.lit(languages[i])).otherwise(lang)
     return fused.select("id", lang.alias("lang"), best.alias("confidence"), "declared", F.col("told").alias("known"))
 
@@ -163,10 +208,13 @@ def identify_pages(pages: DataFrame, labelled: DataFrame, **options) -> DataFram
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", accept: float = ACCEPT, **options) -> DataFrame:
-    """``docs`` whose language is known with posterior ``accept`` or more; the source is the host, lang the declaration."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col("text"), F.col("lang").alias("declared"), F.col("source").alias("host"))
-    found = identify(rows, docs, **options)
+    """``docs`` whose language is known with posterior ``accept`` or more, with it as their lang; the source is the host, lang the declaration."""
+    # A row's own key: rows of one id may differ.
+    row = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (id_col, "lang", "source", "text")]))
+    rows = docs.select(row.alias("id"), F.col("text"), F.col("lang").alias("declared"), F.col("source").alias("host"))
+    found = identify(rows, docs, label_id=id_col, **options)
+    good = found.where((F.col("confidence") >= accept) & F.col("known") & (F.col("lang") != OTHER)).groupBy(F.col("id").alias("good_row")).agg(F.first("lang").alias("good_lang"))
     # Text of no letter says nothing: a declaration alone does not keep a document.
-    bad = found.where((F.col("confidence") < accept) | ~F.col("known")).select(F.col("id").alias("bad_id")).distinct()
-    worded = docs.where(F.col("text").rlike(r"\p{L}"))
-    return worded.join(bad, worded[id_col].eqNullSafe(bad["bad_id"]), "left_anti")
+    worded = docs.where(F.col("text").rlike(r"\p{L}")).withColumn("own_row", row)
+    met = worded.join(good, F.col("own_row") == F.col("good_row"))
+    return met.select(*[F.col("good_lang").alias(c) if c == "lang" else F.col(c) for c in docs.columns])

@@ -507,3 +507,17 @@ def test_short_lines_are_removed_if_equal(spark):
     texts |= {5: han, 6: han[:12] + "\u4f60" + han[13:]}
     got = {r.doc_id: r.kept_text for r in op10_lines.line_dedup(frame(spark, texts), min_words=0, bits=None).collect()}
     assert got == {1: texts[1], 2: "abcdef\n---\n \n", 3: "abcdeg\n\u4f60\u597d\u4e16\u754c", 4: "***", 5: han, 6: ""}
+
+
+def test_keep_identified_rejects_other_texts_and_sets_the_language(spark):
+    rng = random.Random(10)
+    rows = tongues(rng, 160)
+    polish = ["szcz", "nie", "owi", "dzy", "prz"]
+    more = [" ".join(rng.choice(polish) + rng.choice(polish) for _ in range(25)), "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 " * 10, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(25))]
+    rows += [(900 + i, t, "en", "s0") for i, t in enumerate(more)] + [(910, tongues(rng, 1)[0][1], "en", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.lang for r in op9_language.keep_identified(docs).collect()}
+    assert kept == {r[0]: r[2] for r in rows[:160]} | {910: "de"}
+    seen = docs.where("doc_id >= 900").selectExpr("doc_id id", "text", "CAST(null AS string) declared", "CAST(null AS string) host")
+    got = {r.id: r.lang for r in op9_language.identify(seen, docs.where("doc_id < 160")).collect()}
+    assert got == {900: "other", 901: "other", 902: "other", 910: "de"}
