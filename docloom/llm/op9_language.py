@@ -50,6 +50,7 @@ OTHER, OTHER_PRIOR = "other", 0.1
 ACCEPT = 0.5
 
 _UNSEEN_TAGS = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>")
+_UNREAD = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>")
 _LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})""")
 
 
@@ -58,7 +59,10 @@ def visible(page: str) -> str:
 
 
 def declared_language(page: str) -> str | None:
-    m = _LANG.search(page[:20_000] if "<html" in page[:20_000].lower() else page)
+    """The language of the first html tag that has one, outside comments, scripts and the like."""
+    if not _LANG.search(page):
+        return None
+    m = _LANG.search(_UNREAD.sub(" ", page))
     return m[1].lower() if m else None
 
 

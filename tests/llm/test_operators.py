@@ -521,3 +521,10 @@ def test_keep_identified_rejects_other_texts_and_sets_the_language(spark):
     seen = docs.where("doc_id >= 900").selectExpr("doc_id id", "text", "CAST(null AS string) declared", "CAST(null AS string) host")
     got = {r.id: r.lang for r in op9_language.identify(seen, docs.where("doc_id < 160")).collect()}
     assert got == {900: "other", 901: "other", 902: "other", 910: "de"}
+
+
+def test_declared_language_is_read_from_the_whole_page():
+    real = "<html class=x lang=fr>"
+    for before in ("<!-- <html lang=de> " + "x" * 20_000 + "-->", "<script>'<html>'</script>" + " " * 20_000, " " * 19_990):
+        assert op9_language.declared_language(before + real) == "fr"
+    assert op9_language.declared_language("<!-- <html lang=de> --><p>") is None
