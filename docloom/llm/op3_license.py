@@ -7,6 +7,10 @@ normalised words are aligned with the block's and the words missing from the blo
 template is confirmed if no word of its name is missing and at most ``percent`` of its other words are.
 A template is refused in favour of one that is confirmed too and explains more words of the block.
 
+A block can hold several notices: the wording of every template, whatever its rank, is also aligned around
+each place of its name's rarest word. Of overlapping occurrences the one that explains most words stays.
+A block's only license has the block's span; several have those of their own words.
+
 Defined results. Null or empty text: no block. Rows are independent: repeated rows give the same
 result each, a null doc_id is carried along. Ties between templates go to the one with more matched
 words, then to the first name. An empty table gives an empty result. Extra columns are ignored.
@@ -145,8 +149,60 @@ def judge(block: str, percent: int = PERCENT) -> tuple[str | None, float, list[s
     return best
 
 
+def occurrences(block: str, percent: int = PERCENT) -> list[tuple[int, int, str, float, list[str]]]:
+    """(start, end, license, relative size reduction, missing words) of the confirmed notices, none overlapping another."""
+    plain, with_template = _compressors()
+    # Lower case of a few letters is longer than they are.
+    low = block.lower() if len(block.lower()) == len(block) else "".join(c.lower() if len(c.lower()) == 1 else c for c in block)
+    places = [(m[0], m.start(), m.end()) for m in WORD.finditer(low)]
+    at: dict[str, list[int]] = {}
+    for i, (w, _, _) in enumerate(places):
+        at.setdefault(w, []).append(i)
+    found = []
+    for name, (own, must) in _WORDINGS.items():
+        if not must <= at.keys():
+            continue
+        anchor = min(sorted(must), key=lambda w: len(at[w]))
+        own_at = [i for i, w in enumerate(own) if w == anchor]
+        for p in at[anchor]:
+            lo = max(0, p - own_at[-1] * 5 // 4 - 3)
+            near = [w for w, _, _ in places[lo : p + (len(own) - own_at[0]) * 5 // 4 + 3]]
+            if not must <= set(near):
+                continue
+            match = difflib.SequenceMatcher(None, own, near, autojunk=False).get_matching_blocks()[:-1]
+            held = {i for m in match for i in range(m.a, m.a + m.size)}
+            missing = [w for i, w in enumerate(own) if i not in held]
+            if 100 * len(missing) <= percent * len(own) and not must & set(missing):
+                found.append((-len(held), name, lo + match[0].b, lo + match[-1].b + match[-1].size, missing))
+    taken = bytearray(len(places))
+    out = []
+    for _, name, first, end, missing in sorted(found):
+        if any(taken[first:end]):
+            continue
+        taken[first:end] = b"\1" * (end - first)
+        start, stop = places[first][1], places[end - 1][2]
+        data = low[start:stop].encode("utf-8", "replace")
+        out.append((start, stop, name, 1 - len(with_template[name].compress(data)) / len(plain.compress(data)), missing))
+    return sorted(out)
+
+
 def find_licenses(text: str | None, percent: int = PERCENT) -> list[tuple[int, int, str | None, float, list[str]]]:
-    return [(lo, hi, *judge(text[lo:hi], percent)) for lo, hi in blocks(text)] if text else []
+    """The licenses of each block; a block without one has a row with None."""
+    out = []
+    for lo, hi in blocks(text) if text else ():
+        block = text[lo:hi]
+        best, many = judge(block, percent), occurrences(block, percent)
+        if len(many) > 1:
+            out += [(lo + a, lo + b, *rest) for a, b, *rest in many]
+            words = {w for a, b, *_ in many for w in WORD.findall(block[a:b].lower())}
+            # A notice with much between its words is found in the whole block only.
+            if best[0] and not _WORDINGS[best[0]][1] <= words:
+                out.append((lo, hi, *best))
+        elif many and not best[0]:
+            out.append((lo, hi, *many[0][2:]))
+        else:
+            out.append((lo, hi, *best))
+    return out
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -156,11 +212,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = [find_licenses(t, percent) for t in part.column(1).to_pylist()]
+            n_blocks = [len(blocks(t)) if t else 0 for t in part.column(1).to_pylist()]
             sure = [[b for b in f if b[2]] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
-                    pa.array([len(f) for f in found], pa.int64()),
+                    pa.array(n_blocks, pa.int64()),
                     pa.array([len(s) for s in sure], pa.int64()),
                     pa.array([",".join(sorted({b[2] for b in s})) for s in sure], pa.string()),
                     pa.array([",".join(f"{b[2]}:{b[0]}:{b[1]}" for b in s) for s in sure], pa.string()),

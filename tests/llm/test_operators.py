@@ -528,3 +528,15 @@ def test_declared_language_is_read_from_the_whole_page():
     for before in ("<!-- <html lang=de> " + "x" * 20_000 + "-->", "<script>'<html>'</script>" + " " * 20_000, " " * 19_990):
         assert op9_language.declared_language(before + real) == "fr"
     assert op9_language.declared_language("<!-- <html lang=de> --><p>") is None
+
+
+def test_every_license_of_a_block_is_found():
+    names = lambda text: [f[2] for f in op3_license.find_licenses(text)]
+    wordings = [(k, t) for k, (t, _) in op3_license.TEMPLATES.items()]
+    for gap in ("\n", " ", " filler" * 900 + " "):
+        assert names(gap.join(["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."])) == ["MIT", "Apache-2.0", "MIT"]
+        assert names(gap.join(t for _, t in wordings)) == [k for k, _ in wordings]
+    text = "The licence of this program and of other software that is distributed in the hope of use without any warranty or conditions, see the terms. " * 3
+    assert "CC-BY-4.0" in names(text + "Licensed under CC BY 4.0. " + text)
+    found = op3_license.find_licenses("x\nReleased under the MIT License.\nLicensed under CC BY 4.0.")
+    assert [f[:3] for f in found] == [(2, 32, "MIT"), (34, 58, "CC-BY-4.0")]
