@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 WEIGHTS = {"src0": 2.0, "src1": 0.5} | {f"src{i}": 1.0 for i in range(2, 20)}
 OTHER = 1.0
 SEED = "mix-1"
+#: Rates whose tables begin at 0 end here.
+LARGE = 700.0
 _ADDED = ("copy_no", "mix_order")
 
 
@@ -32,13 +34,22 @@ def uniform(seed: str, *columns: F.Column) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def poisson_start(rate: F.Column) -> F.Column:
+    """The first count of the table: 0, or for rates where exp(-rate) nears the least double, one that has less than 2^-52 below."""
+    return F.when(rate > LARGE, (rate - 10 * F.sqrt(rate) - 40).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
 def poisson_table(rate: F.Column) -> F.Column:
-    """Cumulative probabilities 0, 1, 2, ... up to where less than 2^-52 is left."""
-    most = (rate + 10 * F.sqrt(rate) + 40).cast("int")
+    """Cumulative probabilities of ``poisson_start`` and more up to where less than 2^-52 is left."""
+    low = poisson_start(rate)
+    most = (rate + 10 * F.sqrt(rate) + 40).cast("long")
     step = lambda s, k: F.struct((s["p"] * rate / k).alias("p"), (s["c"] + s["p"] * rate / k).alias("c"), F.array_append(s["a"], s["c"] + s["p"] * rate / k).alias("a"))
-    p0 = F.exp(-rate)
+    # By Stirling's series; in logarithms.
+    k0 = low.cast("double")
+    at_low = F.exp(k0 * F.log(rate / k0) - (rate - k0) - F.log(2 * math.pi * k0) / 2 - 1 / (12 * k0) + 1 / (360 * k0 * k0 * k0))
+    p0 = F.when(rate > LARGE, at_low).otherwise(F.exp(-rate))
     start = F.struct(p0.alias("p"), p0.alias("c"), F.array(p0).alias("a"))
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["a"])
+    return F.aggregate(F.sequence(low + 1, most), start, step, lambda s: s["a"])
 
 
 def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTHER, size: int | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -53,12 +64,12 @@ def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTH
     for name, weight in weights.items():
         share = F.when(F.col("mix_group") == name, weight / total).otherwise(share)
     whole = F.lit(float(size)) if size is not None else F.sum("count").over(Window.partitionBy(F.lit(0))).cast("double")
-    rates = counts.select("mix_group", (share * whole / F.col("count")).alias("rate")).select("mix_group", poisson_table(F.col("rate")).alias("mix_table"))
+    rates = counts.select("mix_group", (share * whole / F.col("count")).alias("rate")).select("mix_group", poisson_start(F.col("rate")).alias("mix_from"), poisson_table(F.col("rate")).alias("mix_table"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     met = docs.withColumn("mix_key", group).join(F.broadcast(rates), F.col("mix_key").eqNullSafe(F.col("mix_group")))
     u = uniform(seed, F.lit("count"), key)
-    copies = met.withColumn("mix_u", u).withColumn("mix_times", F.size(F.filter("mix_table", lambda c: c <= F.col("mix_u")))).where("mix_times > 0")
-    out = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_times").cast("long")))).drop("mix_key", "mix_group", "mix_table", "mix_u", "mix_times")
+    copies = met.withColumn("mix_u", u).withColumn("mix_times", F.col("mix_from") + F.size(F.filter("mix_table", lambda c: c <= F.col("mix_u")))).where("mix_times > 0")
+    out = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_times").cast("long")))).drop("mix_key", "mix_group", "mix_from", "mix_table", "mix_u", "mix_times")
     out = out.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), key, F.col("copy_no").cast("string"))))
     return out.orderBy("mix_order", id_col, "copy_no")
 

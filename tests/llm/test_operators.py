@@ -540,3 +540,16 @@ def test_every_license_of_a_block_is_found():
     assert "CC-BY-4.0" in names(text + "Licensed under CC BY 4.0. " + text)
     found = op3_license.find_licenses("x\nReleased under the MIT License.\nLicensed under CC BY 4.0.")
     assert [f[:3] for f in found] == [(2, 32, "MIT"), (34, 58, "CC-BY-4.0")]
+
+
+def test_mixing_of_large_rates(spark):
+    docs = spark.range(1, 7).selectExpr("id AS doc_id", "'src0' AS source")
+    for rate in (690, 701, 1000, 5000):
+        copies = Counter(r.doc_id for r in op6_mixing.mix(docs, {"src0": 1.0}, other=0.0, size=6 * rate).select("doc_id").collect())
+        for i in range(1, 7):
+            u = int(hashlib.md5(f"{op6_mixing.SEED}:count:{i}".encode()).hexdigest()[:13], 16) / 2**52
+            k, c = -1, 0.0
+            while c <= u:
+                k += 1
+                c += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            assert copies[i] == k
