@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: ASCII A-Z to a-z for the JVM side (``translate``); Python's bytes.lower() does the same on UTF-8.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,6 +57,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df
 
 
+def bounded(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has ``most`` rows at most; left to a shuffled join beyond that."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def utf8_list(column) -> list[bytes | None]:
     """An Arrow string column as Python bytes, without decoding."""
     if isinstance(column, pa.ChunkedArray):

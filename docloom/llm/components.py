@@ -4,22 +4,29 @@
 DataFrames. A node with very many neighbours is met by map-side ``min`` and by joins that AQE
 splits, never by a list of its neighbours.
 
-``link_components`` turns blocking buckets into components. It compares each bucket's members
-with one centre at a time, contracts what is confirmed, and repeats with other centres, so a group
-of n copies costs about n comparisons instead of n^2; what is still apart afterwards is compared
-in full across components. The result is therefore that of comparing all pairs that share a bucket.
+``link_components`` turns blocking buckets into components. Each bucket's members are compared with its
+least and its greatest member, so a group of n copies costs about 2 n comparisons instead of n^2, and a
+bucket of up to three is decided. What that leaves apart in larger buckets (members outside the bucket's
+largest component) is compared with all of the bucket, in blocks of bounded size that are dealt over the
+tasks; a block yields at most one link for each component that it joins, never its pairs. The result is
+that of comparing all pairs that share a bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docloom.llm.common import Staged
+from docloom.llm.common import Staged, arrow_map, slices, utf8_list
 
 #: Passes before giving up; a pass at least halves path lengths, so this is out of reach.
 MAX_PASSES = 60
+#: Members and weight (characters or shingles) of a block.
+BLOCK, BLOCK_WEIGHT = 1024, 4_000_000
+#: Keys of larger buckets that are broadcast, 16 MB at most; more are joined by shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -61,69 +68,125 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(least.select("u", "m")).distinct()
 
 
+class Groups:
+    """Union-find of the components that a block meets."""
+
+    def __init__(self) -> None:
+        self.of: dict = {}
+
+    def root(self, x):
+        path = []
+        while (up := self.of.get(x, x)) != x:
+            path.append(x)
+            x = up
+        for p in path:
+            self.of[p] = x
+        return x
+
+    def merge(self, a, b) -> bool:
+        """Whether ``a`` and ``b`` were apart."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.of[b] = a
+        return a != b
+
+
+#: (texts, components) of a block's two sides -> pairs (i, j) of linked texts, no more than join components.
+BlockLinks = Callable[[list[bytes], list[int], list[bytes], list[int]], Iterator[tuple[int, int]]]
+
+
 def link_components(
     buckets: DataFrame,
     nodes: DataFrame,
     near: Callable[[str, str], F.Column],
     texts: Callable[[DataFrame], DataFrame],
     confirm: Callable[[DataFrame], DataFrame],
-    rounds: int = 2,
+    block_links: BlockLinks,
+    most_broadcast: int = MOST_BROADCAST,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Components of the confirmed links among ids that share a bucket: ``(id, component)``.
+    """Components of the confirmed links among nodes that share a bucket: ``(id, component)``.
 
-    buckets ``(key, id)``; nodes ``(id, ...)`` with the columns that ``near`` compares (given two
-    column prefixes, a cheap test that never refuses a true link); texts: ids -> ``(id, text)``;
-    confirm: ``(a, b, text_a, text_b)`` -> the rows that are links, as ``(a, b)``. Ids in no link
-    do not appear.
+    buckets ``(key, half)``: half is a long that a node's id begins with; nodes ``(id, half, weight, ...)``
+    with the columns that ``near`` compares (given two column prefixes, a cheap test that never refuses a
+    true link); texts: ids -> ``(id, text)``; confirm: ``(a, b, text_a, text_b)`` -> the rows that are
+    links, as ``(a, b)``; block_links does the same in Python. Nodes in no link do not appear.
     """
-    shared = buckets.groupBy("key").count().where("count > 1").select("key")
-    multi = Staged(buckets.join(shared, "key", "left_semi").distinct(), "buckets")
-    ids = multi.df.select("id").distinct()
-    held = Staged(texts(ids).distinct(), "texts")
-    facts = Staged(nodes.join(ids, "id", "left_semi").distinct(), "facts")
-    links: DataFrame | None = None
-    refused: DataFrame | None = None
-    labels: DataFrame | None = None
-    open_ = multi.df.withColumn("label", F.col("id"))
-    for k in range(rounds + 1):
-        pairs = _across(open_) if k == rounds else _to_centre(open_, k)
-        if refused is not None:
-            pairs = pairs.join(refused, ["a", "b"], "left_anti")
-        a, b = (facts.df.select(*[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in facts.df.columns]) for x in "ab")
-        close = Staged(pairs.join(a, "a").join(b, "b").where(near("a_", "b_")).select("a", "b"), "pairs").df
-        if close.isEmpty():
-            continue
-        of_a, of_b = (held.df.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        found = Staged(confirm(close.join(of_b, "b").join(of_a, "a")).select("a", "b"), "links").df
-        missed = close.join(found, ["a", "b"], "left_anti")
-        refused = missed if refused is None else refused.union(missed)
-        links = found if links is None else links.union(found)
-        labels = Staged(connected_components(links), "labels").df
-        if k < rounds:
-            open_ = Staged(_open(multi.df, labels), "open").df
-            if open_.isEmpty():
-                break
-    if labels is None:
-        return multi.df.select("id", F.col("id").alias("component")).where("false")
-    return labels
-
-
-def _to_centre(open_: DataFrame, k: int) -> DataFrame:
-    """Pairs of one member of each bucket, another in each round, with those of other components."""
-    order = F.struct("id", "label") if k == 0 else F.struct(F.xxhash64(F.lit(k), "id").alias("order"), "id", "label")
-    centre = open_.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.id").alias("centre"), F.col("c.label").alias("centre_label"))
-    apart = open_.join(centre, "key").where("id <> centre AND label <> centre_label")
-    return apart.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-
-
-def _across(open_: DataFrame) -> DataFrame:
-    """The pairs of a bucket whose components differ still: all that the rounds have left undecided."""
-    a, b = (open_.select("key", F.col("id").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-    return a.join(b, "key").where("a < b AND label_a <> label_b").select("a", "b").distinct()
-
-
-def _open(multi: DataFrame, labels: DataFrame) -> DataFrame:
-    """Bucket rows with their labels, of buckets that hold more than one component."""
-    named = multi.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return named.join(apart, "key", "left_semi")
+    ends = Staged(buckets.groupBy("key").agg(F.min("half").alias("lo"), F.max("half").alias("hi"), F.count("*").alias("n")).where("lo <> hi"), "ends")
+    more = ends.df.where("n > 2").select("key", "lo", "hi")
+    small = more.limit(most_broadcast + 1).count() <= most_broadcast
+    members = Staged(buckets.join(F.broadcast(more) if small else more, "key").distinct(), "members")
+    halves = ends.df.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    for end in ("lo", "hi"):
+        halves = halves.union(members.df.where(F.col("half") != F.col(end)).select(F.least("half", end), F.greatest("half", end)))
+    a, b = (nodes.select(*[F.col(c).alias({"id": x, "half": f"half_{x}"}.get(c, f"{x}_{c}")) for c in nodes.columns]) for x in "ab")
+    pairs = halves.distinct().withColumnsRenamed({"a": "half_a", "b": "half_b"})
+    close = Staged(pairs.join(a, "half_a").join(b, "half_b").where(near("a_", "b_")).select("a", "b"), "pairs")
+    ends.drop()
+    held = Staged(texts(close.df.select(F.col("a").alias("id")).union(close.df.select("b")).distinct()), "texts")
+    of_a, of_b = (held.df.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    links = Staged(confirm(close.df.join(of_b, "b").join(of_a, "a")).select("a", "b"), "links")
+    labels = Staged(connected_components(links.df), "labels")
+    for x in (close, held, links):
+        x.drop()
+    rows = members.df.select("key", "half").join(nodes.select("half", "id", "weight"), "half").join(labels.df, "id", "left").select("key", "id", "weight", F.coalesce("component", "id").alias("label"))
+    each = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    apart = each.groupBy("key").agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > 3 AND top.n < n")
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(w / BLOCK_WEIGHT)).cast("int")
+    sized = apart.select("key", F.col("top.label").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("few"), blocks(F.col("n"), F.col("w")).alias("many"))
+    open_ = Staged(rows.join(sized, "key"), "open")
+    if open_.df.isEmpty():
+        open_.drop()
+        members.drop()
+        return labels.df
+    members.drop()
+    held = Staged(texts(open_.df.select("id").distinct()), "texts")
+    spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = open_.df.where("label <> top").select("id", "label", "key", spot("few").alias("i"), every("many").alias("j"), F.lit(0).alias("side"))
+    right = open_.df.select("id", "label", "key", every("few").alias("i"), spot("many").alias("j"), F.lit(1).alias("side"))
+    dealt = left.union(right).join(held.df, "id").select("key", "i", "j", "side", "label", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    joined = Staged(connected_components(_between(dealt, block_links)), "joined").df.select(F.col("id").alias("part"), F.col("component").alias("whole"))
+    for x in (open_, held):
+        x.drop()
+    known = labels.df.join(joined, F.col("component") == F.col("part"), "left").select("id", F.coalesce("whole", "component").alias("component"))
+    return known.union(joined.join(labels.df, F.col("part") == F.col("id"), "left_anti").select("part", "whole"))
+
+
+def _between(dealt: DataFrame, block_links: BlockLinks) -> DataFrame:
+    """(a, b): the components that blocks, sorted by (key, i, j, side), join."""
+    kind = dict(dealt.dtypes)["label"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides, names, label_type = None, ([], []), {}, None
+
+        def out() -> Iterator[tuple]:
+            if sides[0]:
+                (texts_a, of_a), (texts_b, of_b) = (zip(*s, strict=True) for s in sides)
+                back = list(names)
+                groups = Groups()
+                for i, j in block_links(list(texts_a), list(of_a), list(texts_b), list(of_b)):
+                    if groups.merge(of_a[i], of_b[j]):
+                        yield values[back[of_a[i]]], values[back[of_b[j]]]
+
+        def batch(found: list[tuple]) -> pa.RecordBatch:
+            a, b = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, label_type), pa.array(b, label_type)], ["a", "b"])
+
+        values: dict = {}
+        for part in slices(batches, 1024):
+            label_type = part.column("label").type
+            found: list[tuple] = []
+            for key, i, j, side, label, text in zip(*(part.column(c).to_pylist() for c in ("key", "i", "j", "side", "label")), utf8_list(part.column("text")), strict=True):
+                if (key, i, j) != at:
+                    found += out()
+                    at, sides, names, values = (key, i, j), ([], []), {}, {}
+                name = repr(label)
+                values[name] = label
+                sides[side].append((text, names.setdefault(name, len(names))))
+            if found:
+                yield batch(found)
+        if found := list(out()):
+            yield batch(found)
+
+    return arrow_map(dealt, run, f"a {kind}, b {kind}")

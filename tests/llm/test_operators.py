@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import op1_secrets, op2_brown, op3_license, op4_minhash, op5_suffix, op6_mixing, op7_quality, op8_decontaminate, op9_language, op10_lines
-from docloom.llm.components import connected_components
+from docloom.llm.components import connected_components, link_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, word string"
 
@@ -229,10 +229,33 @@ def test_near_dedup_edge_rows(spark):
     assert got.count() == len(CORPUS) + 4
     assert got.where("doc_id IS NULL AND component_id IS NULL AND kept").count() == 1
     assert op4_minhash.near_dedup(docs.limit(0)).count() == 0
+    shared = spark.createDataFrame([(1, "a b c d"), (5, "a b c d"), (5, "e f g h"), (9, "e f g h")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in op4_minhash.near_dedup(shared).select("doc_id", "component_id").collect()) == [(1, 1), (5, 1), (5, 5), (9, 5)]
+    assert sorted(tuple(r) for r in op4_minhash.drop_near_duplicates(shared).collect()) == [(1, "a b c d"), (5, "e f g h")]
     kept = op4_minhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() == got.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct().count()
 
 
+def test_what_centres_leave_apart_is_compared_in_blocks(spark):
+    """Texts that differ from the bucket's least and greatest member, but not from others, in blocks of 4."""
+    rng = random.Random(11)
+    base = prose(rng, 60)
+    texts = {}
+    for i in range(80):
+        w = list(base)
+        for k in rng.sample(range(60), rng.randrange(1, 4)):
+            w[k] = "v%d" % rng.randrange(9)
+        texts[i] = " ".join(w)
+    sets, root = near_truth(texts)
+    keys = spark.createDataFrame([(k, i) for i in texts for k in (7, 8)], "key long, half long")
+    nodes = spark.createDataFrame([(i, i, len(sets[i])) for i in texts], "id long, half long, weight long")
+    held = spark.createDataFrame(list(texts.items()), "id long, text string")
+    for most in (10, 0):
+        got = link_components(keys, nodes, lambda a, b: F.lit(True), lambda ids: held.join(ids, "id", "left_semi"), op4_minhash.confirm_sets(4, 80), op4_minhash.block_sets(4, 80), most_broadcast=most, block=4)
+        found = {r.id: r.component for r in got.collect()}
+        assert {i: found.get(i, i) for i in texts} == root and 1 < len(set(root.values())) < 80
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     for similarity in (0.6, 0.8, 0.95):
