@@ -7,10 +7,10 @@ in a block, so joining on blocks finds all such pairs. They are links if their e
 Levenshtein distance / longer length, is ``percent`` or more. Of each connected group of links the
 first occurrence, by doc_id and line number, is kept and every other line is removed.
 
-With ``bits`` None, as in the query and the pipeline, no SimHash gate stands before the edit check:
-candidates share one of 32 MinHash bands of 5-character shingles, and lengths of the same range, whose
-borders move with the band. A band has three rows in the ranges of short lines, whose shingles one
-changed word spoils most, up to five in those of long ones. Edit similarity alone makes the link.
+With ``bits`` None, as in the query and the pipeline, no SimHash stands before the edit check, since lines
+that differ in a word are seldom within three bits (README has figures). Candidates then share one of
+``BANDS`` MinHash bands of byte shingles, of lengths in the same range, whose borders move with the band,
+and one sample more. Edit similarity alone makes the link.
 
 Lines of fewer than ``min_words`` normalised words are never removed. With ``min_words`` 0, as in the
 query and the pipeline, all lines but blank ones take part: those of five words or, as scripts without
@@ -19,13 +19,13 @@ line came before. A line of signs alone is compared as it is written, without wh
 
 Defined results. Null text: no line, kept text null. Empty text: one empty line, kept. A repeated row's
 lines have the same doc_id and line numbers as its twin's; they are one occurrence, so the row gets the
-same result. Lines of rows with a null doc_id are never removed and remove none. Extra columns are
-ignored by ``line_dedup`` and carried along by ``dedup_lines``.
+same result. Rows that share a doc_id but not a text are documents of their own; of equal lines in the
+same place of both, one is kept. Lines of rows with a null doc_id are never removed and remove none. Extra
+columns are ignored by ``line_dedup`` and carried along, whatever their names, by ``dedup_lines``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,21 +33,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from docloom.llm.common import arrow_map, slices, stage
-from docloom.llm.components import link_components
+from docloom.llm.common import arrow_map, bounded, slices, stage
+from docloom.llm.components import Groups, link_components
 from docloom.llm.op4_minhash import WordHash, mix
 
 MIN_WORDS, PERCENT, BITS = 5, 80, 3
-#: Bands of shingles of so many characters, and the factor between the borders of length ranges.
-BANDS, SHINGLE, RANGE = 32, 5, 1.5
+#: MinHash bands, and the samples of two lines that must agree, out of two of each of the first SKETCHED bands.
+BANDS, AGREE, SKETCHED = 10, 3, 8
+#: Bytes and samples of a band's shingles in length ranges that begin below SHORT bytes, and in longer ones.
+SHORT, SHORT_SHINGLE, LONG_SHINGLE = 48, (5, 2), (12, 2)
 #: Shorter lines, of fewer words than MIN_WORDS, are only compared for equality.
 LEAST_CHARS = 20
-#: Rows of a band in ranges that begin below so many characters.
-ROWS = ((48, 3), (150, 4), (1 << 62, 5))
 
 _RNG = np.random.Generator(np.random.PCG64(20240310))
-_A = _RNG.integers(0, 2**32, (BANDS, ROWS[-1][1]), dtype=np.uint32) | np.uint32(1)
-_P = _RNG.integers(0, 2**63, SHINGLE + 3, dtype=np.uint64) | np.uint64(1)
+_A = _RNG.integers(0, 2**32, (BANDS, 2), dtype=np.uint32) | np.uint32(1)
+_P = _RNG.integers(0, 2**63, 6, dtype=np.uint64) | np.uint64(1)
+#: A base of polynomial hashes and its inverse.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
 #: On UTF-8 bytes of lower-cased text: digits to 0; ASCII signs and controls but white space go.
 _DIGITS = bytes(48 if 48 <= b <= 57 else b for b in range(256))
@@ -77,37 +80,99 @@ def simhashes(of: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def line_classes(docs: DataFrame, min_words: int, simhash: bool = True) -> DataFrame:
-    """(c1, c2, id, line, b0..b3): of each line long enough its class (128 bits of the normalised line) and SimHash."""
+def block_keys(blocks: np.ndarray) -> np.ndarray:
+    """The pigeonhole keys of SimHashes (line, block): each block with its place."""
+    return mix(blocks.view(np.uint64) + np.arange(blocks.shape[1], dtype=np.uint64) * _P[0]).view(np.int64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def shingles(x: np.ndarray, sizes: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the q-byte shingles of lines that lie one after another in ``x``, and each line's first; lines have q bytes or more."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + _P[1]) * _powers(_BASE, len(x)))))
+    h = ((sums[q:] - sums[:-q]) * _powers(_BACK, len(x) - q + 1)) * _P[2]
+    inside = np.ones(len(h), bool)
+    ends = np.cumsum(sizes)[:-1]
+    inside[(ends[:, None] - np.arange(1, q)[None, :]).reshape(-1)] = False
+    return (h[inside] >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], np.cumsum(sizes - q + 1)[:-1]))
+
+
+def bands(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (line, band) and sketches (line, 2) of 16 samples' low bytes; both int64."""
+    sizes = np.array([len(x) for x in lines])
+    keys, bytes_ = np.empty((len(lines), BANDS), np.int64), np.empty((len(lines), SKETCHED, 2), np.uint8)
+    log = np.log2(np.maximum(sizes, 1))
+    span = np.floor(log[:, None] + np.arange(BANDS)[None, :] / BANDS)
+    short = 2 ** (span - np.arange(BANDS)[None, :] / BANDS) < SHORT
+    for is_short, (q, rows) in ((True, SHORT_SHINGLE), (False, LONG_SHINGLE)):
+        own = np.flatnonzero((short == is_short).any(axis=1))
+        if not len(own):
+            continue
+        padded = [lines[i].ljust(q) for i in own]
+        x, first = shingles(np.frombuffer(b"".join(padded), np.uint8), np.maximum(sizes[own], q), q)
+        for k in range(BANDS):
+            here = short[own, k] == is_short
+            key = mix(span[own, k].astype(np.int64).view(np.uint64) * _P[3] + np.uint64((2 * k + is_short) * int(_P[4]) % 2**64))
+            for r in range(rows):
+                least = np.minimum.reduceat(x * _A[k, r], first)
+                key = mix(key * _P[5] + least)
+                if k < SKETCHED:
+                    bytes_[own[here], k, r] = (least[here] >> np.uint32(8)).astype(np.uint8)
+            keys[own[here], k] = key[here].view(np.int64)
+    return keys, bytes_.reshape(len(lines), 2 * SKETCHED).view(np.int64)
+
+
+def line_table(docs: DataFrame, min_words: int, bits: int | None) -> DataFrame:
+    """(c1, c2, id, row, line, size, keys, s0..): of each line of (id, row, text) long enough its class (128
+    bits of the normalised line), characters, and, unless it is only compared for equality, bucket keys and sketch."""
     kind = dict(docs.dtypes)["id"]
-    names = ["c1", "c2", "id", "line", "b0", "b1", "b2", "b3"][: None if simhash else 4]
+    longs = 2 if bits is None else 4
+    names = ["c1", "c2", "id", "row", "line", "size", "keys", *(f"s{i}" for i in range(longs))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHash()
-        for part in slices(batches, 256):
-            c1, c2, row, at, words, of = [], [], [], [], [], []
-            for i, text in enumerate(part.column(1).to_pylist()):
+        for part in slices(batches, 128):
+            c1, c2, of, at, lines, words = [], [], [], [], [], []
+            for i, text in enumerate(part.column(2).to_pylist()):
                 raw = text.split("\n") if text and min_words <= 0 else ()
                 for j, own in enumerate(normal_lines(text) if text else ()):
                     signs = raw[j].strip().encode("utf-8", "replace") if raw and not own else b""
                     if not (own or signs) or len(own) < min_words:
                         continue
-                    h = xxhash.xxh3_128_intdigest(b" ".join(own) if own else b"\0" + signs)
-                    if simhash:
-                        of += [len(row)] * len(own)
-                        words += own
-                    c1.append((h >> 64) - 2**63), c2.append((h & (2**64 - 1)) - 2**63), row.append(i), at.append(j)
-            if row:
-                blocks = simhashes(np.array(of), hashed(words), len(row)).T if simhash else ()
-                columns = [pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), part.column(0).take(pa.array(row)), pa.array(at, pa.int32()), *(pa.array(np.ascontiguousarray(b)) for b in blocks)]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return arrow_map(docs, run, f"c1 long, c2 long, id {kind}, line int" + ", b0 long, b1 long, b2 long, b3 long" * simhash)
+                    lines.append(b" ".join(own) if own else b"\0" + signs)
+                    words.append(own)
+                    h = xxhash.xxh3_128_intdigest(lines[-1])
+                    c1.append((h >> 64) - 2**63), c2.append((h & (2**64 - 1)) - 2**63), of.append(i), at.append(j)
+            if not of:
+                continue
+            sizes = [len(x) if x.isascii() else len(x.decode()) for x in lines]
+            full = [i for i, (n, own) in enumerate(zip(sizes, words, strict=True)) if own and (n >= LEAST_CHARS or len(own) >= MIN_WORDS)]
+            width = BANDS if bits is None else 4
+            keys, sketch = np.empty((0, width), np.int64), np.zeros((len(lines), longs), np.int64)
+            if full and bits is None:
+                keys, sketch[full] = bands([lines[i] for i in full])
+            elif full:
+                counts = [len(words[i]) for i in full]
+                sketch[full] = simhashes(np.repeat(np.arange(len(full)), counts), hashed([w for i in full for w in words[i]]), len(full))
+                keys = block_keys(sketch[full])
+            has = np.zeros(len(lines), np.int32)
+            has[full] = width
+            offsets = pa.array(np.concatenate(([0], np.cumsum(has))), pa.int32())
+            rows = pa.array(of)
+            columns = [pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), part.column(0).take(rows), part.column(1).take(rows), pa.array(at, pa.int32()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], names)
+
+    return arrow_map(docs.select("id", "row", "text"), run, f"c1 long, c2 long, id {kind}, row long, line int, size int, keys array<long>, " + ", ".join(f"s{i} long" for i in range(longs)))
 
 
 def line_texts(places: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, text): the normalised line of each class, from its first occurrence ``(id, of, line)``."""
-    met = docs.join(places.groupBy("of").agg(F.collect_list(F.struct("id", "line")).alias("asked")), F.col("of") == docs["id"]).select("asked", "text")
+    """(id, text): the normalised line of each class, from its first occurrence ``(id, of, row, line)``."""
+    asked = places.groupBy("of", "row").agg(F.collect_list(F.struct("id", "line")).alias("asked"))
+    met = docs.select(F.col("id").alias("of"), "row", "text").join(bounded(asked), ["of", "row"]).select("asked", "text")
     kind = dict(places.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,65 +185,108 @@ def line_texts(places: DataFrame, docs: DataFrame) -> DataFrame:
                         ids.append(x["id"]), out.append(normal(lines[x["line"]]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, part.column(0).type.value_type.field("id").type), pa.array(out, pa.string())], ["id", "text"])
 
-    return arrow_map(met, run, f"id {kind}, text string")
-
-
-def bands(lines: list[str]) -> np.ndarray:
-    """The keys of each line's bands, (line, band) int64; lines have SHINGLE characters or are padded to that."""
-    units = [np.frombuffer(x.ljust(SHINGLE).encode("utf-32-le", "replace"), np.uint32) for x in lines]
-    sizes = np.array([len(u) for u in units])
-    x = np.concatenate(units).astype(np.uint64)
-    x = mix(sum(x[i : len(x) - SHINGLE + 1 + i] * _P[i] for i in range(SHINGLE)))
-    # Shingles that reach into the next line go.
-    ends = np.cumsum(sizes)
-    inside = np.arange(len(x)) <= np.repeat(ends - SHINGLE, sizes)[: len(x)]
-    x = (x[inside] >> np.uint64(32)).astype(np.uint32)
-    first = np.concatenate(([0], np.cumsum(sizes - SHINGLE + 1)[:-1]))
-    log = np.log(sizes) / math.log(RANGE)
-    out = np.empty((len(lines), BANDS), np.int64)
-    for k in range(BANDS):
-        span = np.floor(log + k / BANDS)
-        rows = np.select([RANGE ** (span - k / BANDS) < most for most, _ in ROWS], [n for _, n in ROWS])
-        key = mix(span.astype(np.int64).view(np.uint64) * _P[SHINGLE] + np.uint64(k) * _P[SHINGLE + 1])
-        for r in range(ROWS[-1][1]):
-            least = np.minimum.reduceat(x * _A[k, r], first).astype(np.uint64)
-            key = np.where(r < rows, mix(key * _P[SHINGLE + 2] + least), key)
-        out[:, k] = key.view(np.int64)
+    return arrow_map(met, run, f"id {kind}, text string").groupBy("id").agg(F.first("text").alias("text"))
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein's distance, a column of the table at a time in the bits of integers (Myers 1999)."""
+    if not a:
+        return len(b)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    last, up, down, out = 1 << len(a) - 1, whole, 0, len(a)
+    for c in b:
+        same = where.get(c, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        plus, minus = down | (whole & ~(level | up)), up & level
+        out += bool(plus & last) - bool(minus & last)
+        plus, minus = (plus << 1 | 1) & whole, minus << 1 & whole
+        up, down = minus | (whole & ~(level | plus)), plus & level
     return out
 
 
-def line_bands(texts: DataFrame) -> DataFrame:
-    """(id, text, bands) of line texts (id, text)."""
+def _pair_counts(lines: list[str]) -> np.ndarray:
+    """Counts of hashed pairs of neighbouring characters, (line, 256)."""
+    out = np.zeros((len(lines), 256), np.int32)
+    for row, line in zip(out, lines, strict=True):
+        x = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32)
+        row += np.bincount((x[:-1] * np.uint32(31) + x[1:]) & np.uint32(255), minlength=256).astype(np.int32)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 512):
-            keys = bands(part.column(1).to_pylist()).reshape(-1)
-            offsets = pa.array(np.arange(part.num_rows + 1) * BANDS, pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(keys))], ["id", "text", "bands"])
 
-    return arrow_map(texts, run, "id struct<c1: long, c2: long>, text string, bands array<long>")
+def block_lines(percent: int, bits: int | None):
+    """The links between the lines of a block's two sides, as few as join its components.
+
+    Each edit spoils two pairs of neighbouring characters at most, so lines with fewer in common are passed over.
+    """
+
+    def links(left: list[bytes], of_left: list[int], right: list[bytes], of_right: list[int]) -> Iterator[tuple[int, int]]:
+        groups = Groups()
+        a, b = ([x.decode() for x in side] for side in (left, right))
+        pairs, other = _pair_counts(a), _pair_counts(b)
+        sizes = np.array([len(x) for x in b])
+        if bits is not None:
+            hashed = WordHash()
+            words = [[x.encode().split() for x in side] for side in (a, b)]
+            of = [np.repeat(np.arange(len(side)), [len(w) for w in side]) for side in words]
+            near, far = (simhashes(o, hashed([x for w in side for x in w]), len(side)) for o, side in zip(of, words, strict=True))
+        for i, line in enumerate(a):
+            longer = np.maximum(len(line), sizes)
+            most = longer * (100 - percent) // 100
+            fits = (np.abs(len(line) - sizes) <= most) & (np.minimum(pairs[i], other).sum(axis=1) >= longer - 1 - 2 * most)
+            if bits is not None:
+                fits &= np.bitwise_count(near[i] ^ far).sum(axis=1) <= bits
+            for j in np.flatnonzero(fits).tolist():
+                if groups.root(of_left[i]) != groups.root(of_right[j]) and edit_distance(line, b[j]) <= most[j]:
+                    groups.merge(of_left[i], of_right[j])
+                    yield i, j
+
+    return links
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT, bits: int | None = BITS) -> DataFrame:
-    """(id, lines): of each text (id, text) the numbers of the lines to remove."""
+    """(id, row, lines): of each text (id, row, text) the numbers of the lines to remove; row tells the texts of an id apart."""
     if bits is not None and not 0 <= bits <= 3:
         raise ValueError("four blocks find pairs that differ in up to three bits")
-    docs = docs.where("id IS NOT NULL AND text IS NOT NULL")
-    gate = bits is not None
-    if gate and min_words < 1:
+    if bits is not None and min_words < 1:
         raise ValueError("a SimHash is one of words")
-    lines = line_classes(docs, min_words, simhash=gate)
-    place = F.struct("id", "line")
-    classes = stage(
-        lines.groupBy("c1", "c2").agg(F.min(place).alias("first"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(4 if gate else 0)], F.count("*").alias("n")),
-        "lines",
-    ).withColumn("cls", F.struct("c1", "c2"))
-    labels = _gated_links(classes, docs, percent, bits) if gate else _links(classes, docs, percent)
-    grouped = classes.join(labels.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    heads = grouped.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    kept = grouped.join(heads, "component").select("c1", "c2", F.col("head.id").alias("head_id"), F.col("head.line").alias("head_line"))
-    gone = line_classes(docs, min_words, simhash=False).join(kept, ["c1", "c2"]).where("NOT (id = head_id AND line = head_line)")
-    return gone.groupBy("id").agg(F.collect_set("line").alias("lines"))
+    docs = docs.where("id IS NOT NULL AND text IS NOT NULL")
+    lines = stage(line_table(docs, min_words, bits), "lines")
+    sketch = [c for c in lines.columns if c in ("s0", "s1", "s2", "s3")]
+    classes = stage(lines.groupBy("c1", "c2").agg(F.min(F.struct("id", "line", "row")).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", *sketch)]), "classes")
+    node = F.struct("c1", "c2")
+    nodes = classes.select(node.alias("id"), F.col("c1").alias("half"), F.col("size").alias("weight"), *sketch)
+
+    def near(a: str, b: str) -> F.Column:
+        a_size, b_size = F.col(f"{a}weight"), F.col(f"{b}weight")
+        fits = F.abs(a_size - b_size) <= (F.greatest(a_size, b_size) * (100 - percent) / 100).cast("int")
+        apart = [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in sketch]
+        if bits is not None:
+            return fits & (sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0])) <= bits)
+        return fits & (_unequal_bytes(apart[0]) + _unequal_bytes(apart[1]) <= 2 * SKETCHED - AGREE)
+
+    def texts(ids: DataFrame) -> DataFrame:
+        asked = classes.select(node.alias("id"), F.col("first.id").alias("of"), F.col("first.row").alias("row"), F.col("first.line").alias("line"))
+        return line_texts(asked.join(ids, "id", "left_semi"), docs)
+
+    buckets = lines.select(F.explode("keys").alias("key"), F.col("c1").alias("half"))
+    labels = link_components(buckets, nodes, near, texts, _confirm(percent), block_lines(percent, bits))
+    linked = labels.select(F.col("id.c1").alias("c1"), F.col("id.c2").alias("c2"), "component")
+    grouped = classes.select("c1", "c2", "first", "n").join(linked, ["c1", "c2"], "left")
+    heads = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head"))
+    kept = grouped.where("component IS NOT NULL").join(heads, "component").select("c1", "c2", "head").union(grouped.where("component IS NULL AND n > 1").select("c1", "c2", "first"))
+    kept = stage(kept.select("c1", "c2", F.col("head.id").alias("head_id"), F.col("head.line").alias("head_line"), F.col("head.row").alias("head_row")), "kept")
+    gone = lines.select("c1", "c2", "id", "row", "line").join(bounded(kept), ["c1", "c2"]).where("NOT (id = head_id AND line = head_line AND row = head_row)")
+    return stage(gone.groupBy("id", "row").agg(F.collect_set("line").alias("lines")), "gone")
+
+
+def _unequal_bytes(x: F.Column) -> F.Column:
+    """How many of a long's bytes are not 0."""
+    for n in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
 
 def _confirm(percent: int) -> Callable[[DataFrame], DataFrame]:
@@ -191,60 +299,34 @@ def _confirm(percent: int) -> Callable[[DataFrame], DataFrame]:
     return confirm
 
 
-def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Components of the classes' links by edit similarity alone."""
-    places = classes.select(F.col("cls").alias("id"), F.col("first.id").alias("of"), F.col("first.line").alias("line"))
-    long = (F.length("text") >= LEAST_CHARS) | (F.size(F.split("text", " ")) >= MIN_WORDS)
-    held = stage(line_bands(line_texts(places, docs).where(long)), "bands")
-    nodes = held.select("id", F.length("text").alias("size"))
-    buckets = held.select(F.explode("bands").alias("key"), "id")
-
-    def near(a: str, b: str) -> F.Column:
-        a, b = F.col(f"{a}size"), F.col(f"{b}size")
-        return F.abs(a - b) <= (F.greatest(a, b) * (100 - percent) / 100).cast("int")
-
-    texts = lambda ids: held.select("id", "text").join(ids, "id", "left_semi")
-    return link_components(buckets, nodes, near, texts, _confirm(percent))
-
-
-def _gated_links(classes: DataFrame, docs: DataFrame, percent: int, bits: int) -> DataFrame:
-    """Components of the classes' links within ``bits`` bits of SimHash."""
-    nodes = classes.select(F.col("cls").alias("id"), *[f"b{i}" for i in range(4)])
-    buckets = classes.select(F.explode(F.array(*[F.xxhash64(F.lit(i), f"b{i}") for i in range(4)])).alias("key"), F.col("cls").alias("id"))
-
-    def near(a: str, b: str) -> F.Column:
-        apart = F.bit_count(F.col(f"{a}b0").bitwiseXOR(F.col(f"{b}b0")))
-        for i in range(1, 4):
-            apart = apart + F.bit_count(F.col(f"{a}b{i}").bitwiseXOR(F.col(f"{b}b{i}")))
-        return apart <= bits
-
-    def texts(ids: DataFrame) -> DataFrame:
-        places = classes.join(ids.select(F.col("id").alias("cls")), "cls", "left_semi").select(F.col("cls").alias("id"), F.col("first.id").alias("of"), F.col("first.line").alias("line"))
-        return line_texts(places, docs)
-
-    return link_components(buckets, nodes, near, texts, _confirm(percent))
-
-
-def _with_kept(docs: DataFrame, id_col: str, text_col: str, removed: DataFrame) -> DataFrame:
-    """``docs`` with n_lines, n_removed and kept_text."""
-    gone = removed.select(F.col("id").alias("gone_id"), F.col("lines").alias("gone_lines"))
-    parts = F.split(F.col(text_col), "\n", -1)
-    met = docs.join(gone, docs[id_col] == gone["gone_id"], "left").withColumn("n_removed", F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long"))
+def _kept(docs: DataFrame, id_col: str, text_col: str, min_words: int, percent: int, bits: int | None) -> DataFrame:
+    """(own, n_lines, n_removed, kept): own is the row of ``docs``, kept the text that is left."""
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("own"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    own = own.withColumn("row", F.xxhash64("text"))
+    gone = removed_lines(own.select("id", "row", "text"), min_words, percent, bits).select(F.col("id").alias("gone_id"), F.col("row").alias("gone_row"), "lines")
+    parts = F.split("text", "\n", -1)
+    met = own.join(bounded(gone), (F.col("id") == F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left")
     # The split has one part more than there are breaks; positions not in the set stay.
-    stay = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone_lines", i)), "\n")
-    return met.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("kept_text", F.when(F.col("n_removed") > 0, stay).otherwise(F.col(text_col)))
+    stay = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("lines", i)), "\n")
+    return met.select("own", F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("lines").isNotNull(), stay).otherwise(F.col("text")).alias("kept"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT, bits: int | None = BITS) -> DataFrame:
     """One row per input row: id, n_lines, n_removed, kept_text."""
-    docs = docs.select(id_col, text_col)
-    removed = removed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_words, percent, bits)
-    return _with_kept(docs, id_col, text_col, removed).select(id_col, "n_lines", "n_removed", "kept_text")
+    met = _kept(docs.select(id_col, text_col), id_col, text_col, min_words, percent, bits)
+    return met.select(F.col(f"own.{id_col}").alias(id_col), "n_lines", "n_removed", F.col("kept").alias("kept_text"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_words: int = MIN_WORDS, percent: int = PERCENT, bits: int | None = BITS) -> DataFrame:
     """``docs`` with repeated lines cut out of the text (and its length redone); those that lose all words go."""
-    removed = removed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_words, percent, bits)
-    met = _with_kept(docs, id_col, text_col, removed).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(dict(docs.dtypes).get(chars_col, "long"))).otherwise(F.col(chars_col)) if chars_col in docs.columns else None
-    return met.select(*[F.col("kept_text").alias(c) if c == text_col else length.alias(c) if c == chars_col else F.col(c) for c in docs.columns])
+    met = _kept(docs, id_col, text_col, min_words, percent, bits).where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+
+    def column(c: str) -> F.Column:
+        was = F.col(f"own.`{c}`")
+        if c == text_col:
+            return F.col("kept").alias(c)
+        if c == chars_col:
+            return F.when(F.col("n_removed") > 0, F.length("kept").cast(dict(docs.dtypes)[c])).otherwise(was).alias(c)
+        return was.alias(c)
+
+    return met.select(*[column(c) for c in docs.columns])

@@ -524,6 +524,39 @@ def test_lines_are_linked_by_edit_similarity_alone(spark):
     assert sum(r.n_removed for r in op10_lines.line_dedup(frame(spark, texts)).collect()) < 0.2 * len(linked)
 
 
+def test_edit_distance_and_block_links():
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(0, 12))) for _ in range(60)]
+    assert all(op10_lines.edit_distance(a, b) == distance(a, b) for a in texts for b in texts)
+    close = lambda a, b: distance(a, b) <= int(max(len(a), len(b)) * 0.2)
+    sides = [t.encode() for t in texts if t]
+    found = op10_lines.block_lines(80, None)(sides, list(range(len(sides))), sides, list(range(len(sides))))
+    root = components(found, range(len(sides)))
+    assert root == components([(i, j) for i, a in enumerate(sides) for j, b in enumerate(sides) if close(a.decode(), b.decode())], range(len(sides)))
+
+
+def test_line_recall_against_edit_similarity():
+    """Lines of a tenth to a fifth of their words replaced: the share of those still similar that share a band."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(2, 10)))
+    base = [[word() for _ in range(rng.randrange(8, 60))] for _ in range(1500)]
+    other = [[word() if rng.random() < rng.choice((0.05, 0.1, 0.15, 0.2)) else w for w in line] for line in base]
+    a, b = ([" ".join(x) for x in side] for side in (base, other))
+    near = np.array([op10_lines.edit_distance(x, y) <= int(max(len(x), len(y)) * 0.2) for x, y in zip(a, b, strict=True)])
+    (ka, sa), (kb, sb) = (op10_lines.bands([x.encode() for x in side]) for side in (a, b))
+    agree = (sa.view(np.uint8) == sb.view(np.uint8)).reshape(len(a), -1).sum(axis=1)
+    assert near.sum() > 1000 and (((ka == kb).any(axis=1)) & (agree >= op10_lines.AGREE))[near].mean() >= 0.9
+
+
+def test_line_dedup_of_texts_that_share_an_id(spark):
+    line, own = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    rows = [(3, line, 1), (5, line, 2), (5, own, 3), (5, own + "\n" + line, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed long").withColumn("gone_id", F.lit("x")).withColumn("lines", F.lit(7))
+    got = op10_lines.dedup_lines(docs, min_words=0, bits=None)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.n_removed, r.gone_id, r.lines) for r in got.collect()) in ([(3, line, 1, "x", 7), (5, own, 3, "x", 7)], [(3, line, 1, "x", 7), (5, own, 4, "x", 7)])
+
+
 def test_short_lines_are_removed_if_equal(spark):
     texts = {1: "Read more\n* * *\n\nLes.", 2: "read more!\nabcdef\n* * *\n---\n \n\nles", 3: "abcdeg\n---\n\u4f60\u597d\u4e16\u754c", 4: "\u4f60\u597d\u4e16\u754c\n***"}
     han = "".join(chr(0x4E00 + 37 * i) for i in range(30))
