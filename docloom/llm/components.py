@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -91,8 +92,9 @@ class Groups:
         return a != b
 
 
-#: (texts, components) of a block's two sides -> pairs (i, j) of linked texts, no more than join components.
-BlockLinks = Callable[[list[bytes], list[int], list[bytes], list[int]], Iterator[tuple[int, int]]]
+#: A block's two sides, each (texts, components, carried longs (text, column)) -> pairs (i, j) of linked texts, no more than join components.
+Side = tuple[list[bytes], list[int], np.ndarray]
+BlockLinks = Callable[[Side, Side], Iterator[tuple[int, int]]]
 
 
 def link_components(
@@ -102,6 +104,7 @@ def link_components(
     texts: Callable[[DataFrame], DataFrame],
     confirm: Callable[[DataFrame], DataFrame],
     block_links: BlockLinks,
+    carried: list[str] = [],  # noqa: B006
     most_broadcast: int = MOST_BROADCAST,
     block: int = BLOCK,
 ) -> DataFrame:
@@ -110,7 +113,8 @@ def link_components(
     buckets ``(key, half)``: half is a long that a node's id begins with; nodes ``(id, half, weight, ...)``
     with the columns that ``near`` compares (given two column prefixes, a cheap test that never refuses a
     true link); texts: ids -> ``(id, text)``; confirm: ``(a, b, text_a, text_b)`` -> the rows that are
-    links, as ``(a, b)``; block_links does the same in Python. Nodes in no link do not appear.
+    links, as ``(a, b)``; block_links does the same in Python and gets the ``carried`` columns of nodes, longs,
+    to apply ``near``. Nodes in no link do not appear.
     """
     ends = Staged(buckets.groupBy("key").agg(F.min("half").alias("lo"), F.max("half").alias("hi"), F.count("*").alias("n")).where("lo <> hi"), "ends")
     more = ends.df.where("n > 2").select("key", "lo", "hi")
@@ -129,7 +133,7 @@ def link_components(
     labels = Staged(connected_components(links.df), "labels")
     for x in (close, held, links):
         x.drop()
-    rows = members.df.select("key", "half").join(nodes.select("half", "id", "weight"), "half").join(labels.df, "id", "left").select("key", "id", "weight", F.coalesce("component", "id").alias("label"))
+    rows = members.df.select("key", "half").join(nodes.select("half", "id", "weight", *carried), "half").join(labels.df, "id", "left").select("key", "id", "weight", F.array(*carried).cast("array<long>").alias("carried"), F.coalesce("component", "id").alias("label"))
     each = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     apart = each.groupBy("key").agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > 3 AND top.n < n")
     blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(w / BLOCK_WEIGHT)).cast("int")
@@ -143,9 +147,9 @@ def link_components(
     held = Staged(texts(open_.df.select("id").distinct()), "texts")
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = open_.df.where("label <> top").select("id", "label", "key", spot("few").alias("i"), every("many").alias("j"), F.lit(0).alias("side"))
-    right = open_.df.select("id", "label", "key", every("few").alias("i"), spot("many").alias("j"), F.lit(1).alias("side"))
-    dealt = left.union(right).join(held.df, "id").select("key", "i", "j", "side", "label", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    left = open_.df.where("label <> top").select("id", "label", "carried", "key", spot("few").alias("i"), every("many").alias("j"), F.lit(0).alias("side"))
+    right = open_.df.select("id", "label", "carried", "key", every("few").alias("i"), spot("many").alias("j"), F.lit(1).alias("side"))
+    dealt = left.union(right).join(held.df, "id").select("key", "i", "j", "side", "label", "carried", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
     joined = Staged(connected_components(_between(dealt, block_links)), "joined").df.select(F.col("id").alias("part"), F.col("component").alias("whole"))
     for x in (open_, held):
         x.drop()
@@ -158,32 +162,31 @@ def _between(dealt: DataFrame, block_links: BlockLinks) -> DataFrame:
     kind = dict(dealt.dtypes)["label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sides, names, label_type = None, ([], []), {}, None
+        at, sides, names, values, label_type = None, ([], []), {}, {}, None
 
         def out() -> Iterator[tuple]:
             if sides[0]:
-                (texts_a, of_a), (texts_b, of_b) = (zip(*s, strict=True) for s in sides)
                 back = list(names)
                 groups = Groups()
-                for i, j in block_links(list(texts_a), list(of_a), list(texts_b), list(of_b)):
-                    if groups.merge(of_a[i], of_b[j]):
-                        yield values[back[of_a[i]]], values[back[of_b[j]]]
+                a, b = ((list(texts), list(of), np.array(more, np.int64)) for texts, of, more in (zip(*side, strict=True) for side in sides))
+                for i, j in block_links(a, b):
+                    if groups.merge(a[1][i], b[1][j]):
+                        yield values[back[a[1][i]]], values[back[b[1][j]]]
 
         def batch(found: list[tuple]) -> pa.RecordBatch:
             a, b = zip(*found, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(a, label_type), pa.array(b, label_type)], ["a", "b"])
 
-        values: dict = {}
         for part in slices(batches, 1024):
             label_type = part.column("label").type
             found: list[tuple] = []
-            for key, i, j, side, label, text in zip(*(part.column(c).to_pylist() for c in ("key", "i", "j", "side", "label")), utf8_list(part.column("text")), strict=True):
+            for key, i, j, side, label, more, text in zip(*(part.column(c).to_pylist() for c in ("key", "i", "j", "side", "label", "carried")), utf8_list(part.column("text")), strict=True):
                 if (key, i, j) != at:
                     found += out()
                     at, sides, names, values = (key, i, j), ([], []), {}, {}
                 name = repr(label)
                 values[name] = label
-                sides[side].append((text, names.setdefault(name, len(names))))
+                sides[side].append((text, names.setdefault(name, len(names)), more))
             if found:
                 yield batch(found)
         if found := list(out()):

@@ -26,6 +26,7 @@ columns are ignored by ``line_dedup`` and carried along, whatever their names, b
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from docloom.llm.common import arrow_map, bounded, slices, stage
-from docloom.llm.components import Groups, link_components
+from docloom.llm.components import Groups, Side, link_components
 from docloom.llm.op4_minhash import WordHash, mix
 
 MIN_WORDS, PERCENT, BITS = 5, 80, 3
@@ -207,40 +208,69 @@ def edit_distance(a: str, b: str) -> int:
     return out
 
 
-def _pair_counts(lines: list[str]) -> np.ndarray:
-    """Counts of hashed pairs of neighbouring characters, (line, 256)."""
-    out = np.zeros((len(lines), 256), np.int32)
-    for row, line in zip(out, lines, strict=True):
-        x = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32)
-        row += np.bincount((x[:-1] * np.uint32(31) + x[1:]) & np.uint32(255), minlength=256).astype(np.int32)
-    return out
+def word_distance(a: str, b: str, most: int) -> int:
+    """The cost of changing ``a`` into ``b`` by whole words met one after another: the edit distance or more; ends beyond ``most``."""
+    x, y = a.split(" "), b.split(" ")
+    i = j = cost = 0
+    while i < len(x) and j < len(y) and cost <= most:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+        elif x[i + 1 : i + 2] == y[j : j + 1]:
+            cost += len(x[i]) + 1
+            i += 1
+        elif y[j + 1 : j + 2] == x[i : i + 1]:
+            cost += len(y[j]) + 1
+            j += 1
+        else:
+            cost += max(len(x[i]), len(y[j]))
+            i, j = i + 1, j + 1
+    return cost + sum(len(w) + 1 for w in x[i:]) + sum(len(w) + 1 for w in y[j:])
+
+
+def _common(a: str, b: str) -> int:
+    """The length of the common beginning."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
+def similar(a: str, b: str, percent: int) -> bool:
+    """Whether the edit similarity, 1 - distance / longer length, is ``percent`` or more."""
+    most = max(len(a), len(b)) * (100 - percent) // 100
+    if abs(len(a) - len(b)) > most:
+        return False
+    if word_distance(a, b, most) <= most:
+        return True
+    head = _common(a, b)
+    a, b = a[head:], b[head:]
+    tail = _common(a[::-1], b[::-1])
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if max(len(a), len(b)) <= most:
+        return True
+    # Each edit spoils two pairs of neighbouring characters at most.
+    pairs, other = Counter(zip(a, a[1:], strict=False)), Counter(zip(b, b[1:], strict=False))
+    if (pairs & other).total() < max(len(a), len(b)) - 1 - 2 * most:
+        return False
+    return edit_distance(a, b) <= most
 
 
 def block_lines(percent: int, bits: int | None):
-    """The links between the lines of a block's two sides, as few as join its components.
-
-    Each edit spoils two pairs of neighbouring characters at most, so lines with fewer in common are passed over.
-    """
+    """The links between the lines of a block's two sides, as few as join its components."""
 
-    def links(left: list[bytes], of_left: list[int], right: list[bytes], of_right: list[int]) -> Iterator[tuple[int, int]]:
+    def links(left: Side, right: Side) -> Iterator[tuple[int, int]]:
         groups = Groups()
-        a, b = ([x.decode() for x in side] for side in (left, right))
-        pairs, other = _pair_counts(a), _pair_counts(b)
+        (a, of_a, near), (b, of_b, far) = left, right
+        a, b = [x.decode() for x in a], [x.decode() for x in b]
         sizes = np.array([len(x) for x in b])
-        if bits is not None:
-            hashed = WordHash()
-            words = [[x.encode().split() for x in side] for side in (a, b)]
-            of = [np.repeat(np.arange(len(side)), [len(w) for w in side]) for side in words]
-            near, far = (simhashes(o, hashed([x for w in side for x in w]), len(side)) for o, side in zip(of, words, strict=True))
         for i, line in enumerate(a):
-            longer = np.maximum(len(line), sizes)
-            most = longer * (100 - percent) // 100
-            fits = (np.abs(len(line) - sizes) <= most) & (np.minimum(pairs[i], other).sum(axis=1) >= longer - 1 - 2 * most)
-            if bits is not None:
-                fits &= np.bitwise_count(near[i] ^ far).sum(axis=1) <= bits
+            apart = near[i] ^ far
+            fits = np.bitwise_count(apart).sum(axis=1) <= bits if bits is not None else (apart.view(np.uint8) != 0).sum(axis=1) <= 2 * SKETCHED - AGREE
+            fits &= np.abs(len(line) - sizes) <= np.maximum(len(line), sizes) * (100 - percent) // 100
             for j in np.flatnonzero(fits).tolist():
-                if groups.root(of_left[i]) != groups.root(of_right[j]) and edit_distance(line, b[j]) <= most[j]:
-                    groups.merge(of_left[i], of_right[j])
+                if groups.root(of_a[i]) != groups.root(of_b[j]) and similar(line, b[j], percent):
+                    groups.merge(of_a[i], of_b[j])
                     yield i, j
 
     return links
@@ -272,7 +302,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PE
         return line_texts(asked.join(ids, "id", "left_semi"), docs)
 
     buckets = lines.select(F.explode("keys").alias("key"), F.col("c1").alias("half"))
-    labels = link_components(buckets, nodes, near, texts, _confirm(percent), block_lines(percent, bits))
+    labels = link_components(buckets, nodes, near, texts, _confirm(percent), block_lines(percent, bits), sketch)
     linked = labels.select(F.col("id.c1").alias("c1"), F.col("id.c2").alias("c2"), "component")
     grouped = classes.select("c1", "c2", "first", "n").join(linked, ["c1", "c2"], "left")
     heads = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head"))
@@ -290,11 +320,14 @@ def _unequal_bytes(x: F.Column) -> F.Column:
 
 
 def _confirm(percent: int) -> Callable[[DataFrame], DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1024):
+            keep = [similar(a, b, percent) for a, b in zip(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        longer = F.greatest(F.length("text_a"), F.length("text_b"))
-        most = (longer * (100 - percent) / 100).cast("int")
-        fits = pairs.withColumn("most", most).where(F.abs(F.length("text_a") - F.length("text_b")) <= F.col("most"))
-        return fits.where(F.expr("levenshtein(text_a, text_b, most) >= 0")).select("a", "b")
+        kind = dict(pairs.dtypes)["a"]
+        return arrow_map(pairs.select("a", "b", "text_a", "text_b"), run, f"a {kind}, b {kind}")
 
     return confirm
 

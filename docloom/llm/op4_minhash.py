@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from docloom.llm.common import Staged, arrow_map, bounded, slices, utf8_list, words_of
-from docloom.llm.components import link_components
+from docloom.llm.components import Side, link_components
 
 BANDS, ROWS, SKETCH_BITS = 40, 6, 512
 #: XOR bits beyond which a pair is refused unseen: the mean at similarity 0.55, five deviations above that at 0.8.
@@ -149,7 +149,8 @@ def confirm_sets(k: int, percent: int):
 def block_sets(k: int, percent: int):
     """The links between the shingle sets of a block's two sides: counts of common shingles by matrix products."""
 
-    def links(left: list[bytes], of_left: list[int], right: list[bytes], of_right: list[int]) -> Iterator[tuple[int, int]]:
+    def links(a: Side, b: Side) -> Iterator[tuple[int, int]]:
+        (left, of_left, _), (right, of_right, _) = a, b
         sets = [[shingle_set(t, k) for t in side] for side in (left, right)]
         number = {s: i for i, s in enumerate(set().union(*sets[0]) & set().union(*sets[1]))}
         sizes = [np.array([len(s) for s in side]) for side in sets]
