@@ -92,9 +92,13 @@ class Groups:
         return a != b
 
 
-#: A block's two sides, each (texts, components, carried longs (text, column)) -> pairs (i, j) of linked texts, no more than join components.
-Side = tuple[list[bytes], list[int], np.ndarray]
-BlockLinks = Callable[[Side, Side], Iterator[tuple[int, int]]]
+#: A block's two sides, each (texts, components, carried longs (text, column), open buckets of the text), and
+#: its bucket, of several blocks -> (block, i, j) of linked texts. Those whose components other links join
+#: already can be left out, and so can pairs that meet in a lesser open bucket.
+Side = tuple[list[bytes], list[int], np.ndarray, list[set[int]]]
+BlockLinks = Callable[[list[tuple[Side, Side, int]]], Iterator[tuple[int, int, int]]]
+#: Rows of blocks that are handed over at once.
+ROWS = 4096
 
 
 def link_components(
@@ -144,12 +148,15 @@ def link_components(
         members.drop()
         return labels.df
     members.drop()
-    held = Staged(texts(open_.df.select("id").distinct()), "texts")
+    met = open_.df.groupBy("id").agg(F.collect_set("key").alias("met"))
+    held = Staged(texts(open_.df.select("id").distinct()).join(met, "id"), "texts")
+    spark = held.spark
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = open_.df.where("label <> top").select("id", "label", "carried", "key", spot("few").alias("i"), every("many").alias("j"), F.lit(0).alias("side"))
     right = open_.df.select("id", "label", "carried", "key", every("few").alias("i"), spot("many").alias("j"), F.lit(1).alias("side"))
-    dealt = left.union(right).join(held.df, "id").select("key", "i", "j", "side", "label", "carried", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.union(right).join(held.df, "id").select("key", "i", "j", "side", "label", "carried", "met", "text").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
     joined = Staged(connected_components(_between(dealt, block_links)), "joined").df.select(F.col("id").alias("part"), F.col("component").alias("whole"))
     for x in (open_, held):
         x.drop()
@@ -162,33 +169,49 @@ def _between(dealt: DataFrame, block_links: BlockLinks) -> DataFrame:
     kind = dict(dealt.dtypes)["label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sides, names, values, label_type = None, ([], []), {}, {}, None
+        at, sides, label_type = None, ([], []), None
+        held: list[tuple[list, list, int]] = []
 
         def out() -> Iterator[tuple]:
-            if sides[0]:
-                back = list(names)
-                groups = Groups()
-                a, b = ((list(texts), list(of), np.array(more, np.int64)) for texts, of, more in (zip(*side, strict=True) for side in sides))
-                for i, j in block_links(a, b):
-                    if groups.merge(a[1][i], b[1][j]):
-                        yield values[back[a[1][i]]], values[back[b[1][j]]]
+            """The merging links of the blocks held."""
+            names: dict[str, int] = {}
+            values: list = []
+
+            def side(rows: list) -> Side:
+                texts, labels, more, met = zip(*rows, strict=True)
+                for x in labels:
+                    if names.setdefault(repr(x), len(names)) == len(values):
+                        values.append(x)
+                return list(texts), [names[repr(x)] for x in labels], np.array(more, np.int64), [set(x) for x in met]
+
+            blocks = [(side(a), side(b), key) for a, b, key in held]
+            held.clear()
+            groups = Groups()
+            for k, i, j in block_links(blocks):
+                a, b = blocks[k][0][1][i], blocks[k][1][1][j]
+                if groups.merge(a, b):
+                    yield values[a], values[b]
 
         def batch(found: list[tuple]) -> pa.RecordBatch:
             a, b = zip(*found, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(a, label_type), pa.array(b, label_type)], ["a", "b"])
 
+        count = 0
         for part in slices(batches, 1024):
             label_type = part.column("label").type
-            found: list[tuple] = []
-            for key, i, j, side, label, more, text in zip(*(part.column(c).to_pylist() for c in ("key", "i", "j", "side", "label", "carried")), utf8_list(part.column("text")), strict=True):
+            for key, i, j, side, label, more, met, text in zip(*(part.column(c).to_pylist() for c in ("key", "i", "j", "side", "label", "carried", "met")), utf8_list(part.column("text")), strict=True):
                 if (key, i, j) != at:
-                    found += out()
-                    at, sides, names, values = (key, i, j), ([], []), {}, {}
-                name = repr(label)
-                values[name] = label
-                sides[side].append((text, names.setdefault(name, len(names)), more))
-            if found:
-                yield batch(found)
+                    if sides[0]:
+                        held.append((*sides, at[0]))
+                        count += len(sides[0]) + len(sides[1])
+                    if count >= ROWS:
+                        if found := list(out()):
+                            yield batch(found)
+                        count = 0
+                    at, sides = (key, i, j), ([], [])
+                sides[side].append((text, label, more, met))
+        if sides[0]:
+            held.append((*sides, at[0]))
         if found := list(out()):
             yield batch(found)
 

@@ -26,7 +26,6 @@ columns are ignored by ``line_dedup`` and carried along, whatever their names, b
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,6 +42,8 @@ MIN_WORDS, PERCENT, BITS = 5, 80, 3
 BANDS, AGREE, SKETCHED = 10, 3, 8
 #: Bytes and samples of a band's shingles in length ranges that begin below SHORT bytes, and in longer ones.
 SHORT, SHORT_SHINGLE, LONG_SHINGLE = 48, (5, 2), (12, 2)
+#: Longer lines are compared one pair at a time.
+LONG_LINE = 2000
 #: Shorter lines, of fewer words than MIN_WORDS, are only compared for equality.
 LEAST_CHARS = 20
 
@@ -227,51 +228,85 @@ def word_distance(a: str, b: str, most: int) -> int:
     return cost + sum(len(w) + 1 for w in x[i:]) + sum(len(w) + 1 for w in y[j:])
 
 
-def _common(a: str, b: str) -> int:
-    """The length of the common beginning."""
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
-    return lo
-
-
-def similar(a: str, b: str, percent: int) -> bool:
-    """Whether the edit similarity, 1 - distance / longer length, is ``percent`` or more."""
-    most = max(len(a), len(b)) * (100 - percent) // 100
-    if abs(len(a) - len(b)) > most:
-        return False
-    if word_distance(a, b, most) <= most:
-        return True
-    head = _common(a, b)
-    a, b = a[head:], b[head:]
-    tail = _common(a[::-1], b[::-1])
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if max(len(a), len(b)) <= most:
-        return True
-    # Each edit spoils two pairs of neighbouring characters at most.
-    pairs, other = Counter(zip(a, a[1:], strict=False)), Counter(zip(b, b[1:], strict=False))
-    if (pairs & other).total() < max(len(a), len(b)) - 1 - 2 * most:
-        return False
-    return edit_distance(a, b) <= most
+def edits_within(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
+    """Whether each pair's edit distance is at most ``most``: the diagonals that can matter, of many pairs at a time, until all exceed it."""
+    out = np.zeros(len(a), bool)
+    order = sorted(range(len(a)), key=lambda i: (most[i], len(a[i])))
+    long = [i for i in order if max(len(a[i]), len(b[i])) > LONG_LINE]
+    out[long] = [edit_distance(a[i], b[i]) <= most[i] for i in long]
+    order = [i for i in order if max(len(a[i]), len(b[i])) <= LONG_LINE and abs(len(a[i]) - len(b[i])) <= most[i]]
+    for at in range(0, len(order), 256):
+        own = np.array(order[at : at + 256])
+        reach, rows = max(most[i] for i in own), max(len(a[i]) for i in own)
+        width = 2 * reach + 1
+        left, right = np.ones((len(own), rows), np.uint32), np.zeros((len(own), rows + width), np.uint32)
+        for r, i in enumerate(own):
+            left[r, : len(a[i])] = np.frombuffer(a[i].encode("utf-32-le"), np.uint32)
+            right[r, reach : reach + len(b[i])] = np.frombuffer(b[i].encode("utf-32-le"), np.uint32)[: rows + width - reach]
+        ends, limit = np.array([len(a[i]) for i in own]), np.array([most[i] for i in own], np.int16)
+        final = np.array([len(b[i]) - len(a[i]) + reach for i in own])
+        steps = np.arange(width, dtype=np.int16)
+        # Entry c of row i is the distance of the first i characters from the first i + c - reach.
+        table = np.tile(np.where(steps >= reach, steps - reach, 20_000).astype(np.int16), (len(own), 1))
+        for i in range(rows + 1):
+            if (done := ends == i).any():
+                out[own[done]] = table[done, final[done]] <= limit[done]
+            if i == rows or not len(own):
+                break
+            if i % 16 == 15:
+                stay = ~done & (ends > i) & (table.min(axis=1) <= limit)
+                own, left, right, ends, limit, final, table = (x[stay] for x in (own, left, right, ends, limit, final, table))
+            new = table + (right[:, i : i + width] != left[:, i, None])
+            np.minimum(new[:, :-1], table[:, 1:] + np.int16(1), out=new[:, :-1])
+            new -= steps
+            table = np.minimum.accumulate(new, axis=1)
+            table += steps
+    return out
+
+
+def similar(a: list[str], b: list[str], percent: int) -> list[bool]:
+    """Whether the edit similarity of each pair, 1 - distance / longer length, is ``percent`` or more."""
+    most = [max(len(x), len(y)) * (100 - percent) // 100 for x, y in zip(a, b, strict=True)]
+    out = [abs(len(x) - len(y)) <= n and word_distance(x, y, n) <= n for x, y, n in zip(a, b, most, strict=True)]
+    rest = [i for i, x in enumerate(out) if not x]
+    for i, x in zip(rest, edits_within(*([side[i] for i in rest] for side in (a, b, most))).tolist(), strict=True):
+        out[i] = x
+    return out
 
 
 def block_lines(percent: int, bits: int | None):
     """The links between the lines of a block's two sides, as few as join its components."""
 
-    def links(left: Side, right: Side) -> Iterator[tuple[int, int]]:
+    def links(blocks: list[tuple[Side, Side, int]]) -> Iterator[tuple[int, int, int]]:
         groups = Groups()
-        (a, of_a, near), (b, of_b, far) = left, right
-        a, b = [x.decode() for x in a], [x.decode() for x in b]
-        sizes = np.array([len(x) for x in b])
-        for i, line in enumerate(a):
-            apart = near[i] ^ far
-            fits = np.bitwise_count(apart).sum(axis=1) <= bits if bits is not None else (apart.view(np.uint8) != 0).sum(axis=1) <= 2 * SKETCHED - AGREE
-            fits &= np.abs(len(line) - sizes) <= np.maximum(len(line), sizes) * (100 - percent) // 100
-            for j in np.flatnonzero(fits).tolist():
-                if groups.root(of_a[i]) != groups.root(of_b[j]) and similar(line, b[j], percent):
-                    groups.merge(of_a[i], of_b[j])
-                    yield i, j
+        held: list[tuple] = []
+
+        def decided() -> Iterator[tuple[int, int, int]]:
+            apart = [x for x in held if groups.root(x[3]) != groups.root(x[4])]
+            held.clear()
+            good = edits_within(*([x[c] for x in apart] for c in (5, 6, 7)))
+            for (n, i, j, of_i, of_j, *_), same in zip(apart, good.tolist(), strict=True):
+                if same and groups.merge(of_i, of_j):
+                    yield n, i, j
+
+        for n, ((a, of_a, near, met_a), (b, of_b, far, met_b), key) in enumerate(blocks):
+            a, b = [x.decode() for x in a], [x.decode() for x in b]
+            sizes = np.array([len(x) for x in b])
+            for i, line in enumerate(a):
+                apart = near[i] ^ far
+                fits = np.bitwise_count(apart).sum(axis=1) <= bits if bits is not None else (apart.view(np.uint8) != 0).sum(axis=1) <= 2 * SKETCHED - AGREE
+                most = np.maximum(len(line), sizes) * (100 - percent) // 100
+                fits &= np.abs(len(line) - sizes) <= most
+                for j in np.flatnonzero(fits).tolist():
+                    if groups.root(of_a[i]) != groups.root(of_b[j]) and min(met_a[i] & met_b[j]) == key:
+                        if word_distance(line, b[j], int(most[j])) <= most[j]:
+                            groups.merge(of_a[i], of_b[j])
+                            yield n, i, j
+                        else:
+                            held.append((n, i, j, of_a[i], of_b[j], line, b[j], int(most[j])))
+                if len(held) >= 4096:
+                    yield from decided()
+        yield from decided()
 
     return links
 
@@ -322,7 +357,7 @@ def _unequal_bytes(x: F.Column) -> F.Column:
 def _confirm(percent: int) -> Callable[[DataFrame], DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
-            keep = [similar(a, b, percent) for a, b in zip(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), strict=True)]
+            keep = similar(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), percent)
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def confirm(pairs: DataFrame) -> DataFrame:

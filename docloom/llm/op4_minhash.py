@@ -149,8 +149,12 @@ def confirm_sets(k: int, percent: int):
 def block_sets(k: int, percent: int):
     """The links between the shingle sets of a block's two sides: counts of common shingles by matrix products."""
 
-    def links(a: Side, b: Side) -> Iterator[tuple[int, int]]:
-        (left, of_left, _), (right, of_right, _) = a, b
+    def links(blocks: list[tuple[Side, Side, int]]) -> Iterator[tuple[int, int, int]]:
+        for n, (a, b, _) in enumerate(blocks):
+            yield from ((n, i, j) for i, j in one(a, b))
+
+    def one(a: Side, b: Side) -> Iterator[tuple[int, int]]:
+        (left, of_left, *_), (right, of_right, *_) = a, b
         sets = [[shingle_set(t, k) for t in side] for side in (left, right)]
         number = {s: i for i, s in enumerate(set().union(*sets[0]) & set().union(*sets[1]))}
         sizes = [np.array([len(s) for s in side]) for side in sets]

@@ -528,12 +528,13 @@ def test_edit_distance_and_block_links():
     rng = random.Random(21)
     texts = ["".join(rng.choice("ab ") for _ in range(rng.randrange(0, 14))) for _ in range(80)]
     close = lambda a, b: distance(a, b) <= int(max(len(a), len(b)) * 0.2)
-    for a in texts:
-        for b in texts:
-            assert op10_lines.edit_distance(a, b) == distance(a, b) <= op10_lines.word_distance(a, b, 99)
-            assert op10_lines.similar(a, b, 80) == close(a, b)
-    side = ([t.encode() for t in texts], list(range(len(texts))), np.zeros((len(texts), 2), np.int64))
-    found = list(op10_lines.block_lines(80, None)(side, side))
+    left, right = [a for a in texts for _ in texts], texts * len(texts)
+    assert all(op10_lines.edit_distance(a, b) == distance(a, b) <= op10_lines.word_distance(a, b, 99) for a, b in zip(left, right))
+    assert op10_lines.similar(left, right, 80) == [close(a, b) for a, b in zip(left, right)]
+    for most in (0, 1, 3, 9):
+        assert op10_lines.edits_within(left, right, [most] * len(left)).tolist() == [distance(a, b) <= most for a, b in zip(left, right)]
+    side = ([t.encode() for t in texts], list(range(len(texts))), np.zeros((len(texts), 2), np.int64), [{7}] * len(texts))
+    found = [x[1:] for x in op10_lines.block_lines(80, None)([(side, side, 7)])]
     assert len(found) < len(texts)
     assert components(found, range(len(texts))) == components([(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if close(a, b)], range(len(texts)))
 
