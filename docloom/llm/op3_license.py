@@ -1,6 +1,7 @@
 """Operator 3, license scans by conditional compression.
 
-Candidate blocks are runs of neighbouring lines that hold a cue word of license texts. Each block is
+Candidate blocks are runs of neighbouring lines that hold a cue word of license texts or, beside such a
+line, seven tenths of words of notices, as hard-wrapped texts do. Each block is
 compressed by zstandard alone and with each template as raw dictionary; the relative size reduction
 ranks the templates. The winner, and any template tied with it, is confirmed by exact wording: its
 normalised words are aligned with the block's and the words missing from the block are listed; a
@@ -67,19 +68,33 @@ TEMPLATES = {
     "all-rights-reserved": ("Copyright. All rights reserved.", "all rights reserved"),
 }
 PERCENT = 25
-_MADE: list[tuple] = []
+Compressors = tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompressor]]
+
+
+def _of_notice(line: str) -> bool:
+    """Whether most words of a line are words of notices, as in the lines of a hard-wrapped one."""
+    words = WORD.findall(line.lower())
+    return bool(words) and 10 * sum(w in _VOCABULARY for w in words) >= 7 * len(words)
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Code-point ranges of the runs of lines with a cue; each cue word is met once."""
+    """Code-point ranges of the lines with a cue and the neighbouring lines in the words of notices; adjacent ones are one block."""
     out: list[tuple[int, int]] = []
     end = -1
     for m in CUE.finditer(text):
         if m.start() < end:
             continue
         lo = text.rfind("\n", 0, m.start()) + 1
+        while lo > end + 1 and _of_notice(text[(before := text.rfind("\n", 0, lo - 1) + 1) : lo - 1]):
+            lo = before
         end = text.find("\n", m.end())
         end = len(text) if end < 0 else end
+        while end < len(text):
+            after = text.find("\n", end + 1)
+            after = len(text) if after < 0 else after
+            if not _of_notice(text[end + 1 : after]):
+                break
+            end = after
         if out and lo <= out[-1][1] + 1:
             out[-1] = (out[-1][0], end)
         else:
@@ -87,18 +102,16 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _compressors() -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCompressor]]:
-    """Made once in each process; they can't be sent to one."""
-    if _MADE:
-        return _MADE[0]
+def compressors() -> Compressors:
+    """One without a dictionary, and one with each template as raw dictionary. They can't be sent to another process: each task makes its own."""
     made = {}
     for name, (wording, _) in TEMPLATES.items():
         d = zstandard.ZstdCompressionDict(wording.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         made[name] = zstandard.ZstdCompressor(level=12, dict_data=d, write_content_size=False, write_dict_id=False)
-    _MADE.append((zstandard.ZstdCompressor(level=12, write_content_size=False), made))
-    return _MADE[0]
+    return zstandard.ZstdCompressor(level=12, write_content_size=False), made
 
 
+_VOCABULARY = frozenset(w for t, _ in TEMPLATES.values() for w in WORD.findall(t.lower()))
 _WORDINGS = {k: (WORD.findall(t.lower()), frozenset(n.split())) for k, (t, n) in TEMPLATES.items()}
 
 
@@ -125,9 +138,9 @@ def _passages(block: str, least: int = 4000) -> Iterator[tuple[int, str]]:
             yield lo, block[lo : end + reach]
 
 
-def judge(block: str, percent: int = PERCENT) -> tuple[str | None, float, list[str]]:
+def judge(block: str, percent: int = PERCENT, tools: Compressors | None = None) -> tuple[str | None, float, list[str]]:
     """(confirmed license or None, best relative size reduction, its missing words)."""
-    plain, with_template = _compressors()
+    plain, with_template = tools or compressors()
     best: tuple = (None, 0.0, [])
     matched_best = -1
     for _, passage in _passages(block):
@@ -149,9 +162,9 @@ def judge(block: str, percent: int = PERCENT) -> tuple[str | None, float, list[s
     return best
 
 
-def occurrences(block: str, percent: int = PERCENT) -> list[tuple[int, int, str, float, list[str]]]:
+def occurrences(block: str, percent: int = PERCENT, tools: Compressors | None = None) -> list[tuple[int, int, str, float, list[str]]]:
     """(start, end, license, relative size reduction, missing words) of the confirmed notices, none overlapping another."""
-    plain, with_template = _compressors()
+    plain, with_template = tools or compressors()
     # Lower case of a few letters is longer than they are.
     low = block.lower() if len(block.lower()) == len(block) else "".join(c.lower() if len(c.lower()) == 1 else c for c in block)
     places = [(m[0], m.start(), m.end()) for m in WORD.finditer(low)]
@@ -186,12 +199,15 @@ def occurrences(block: str, percent: int = PERCENT) -> list[tuple[int, int, str,
     return sorted(out)
 
 
-def find_licenses(text: str | None, percent: int = PERCENT) -> list[tuple[int, int, str | None, float, list[str]]]:
+def find_licenses(text: str | None, percent: int = PERCENT, tools: Compressors | None = None) -> list[tuple[int, int, str | None, float, list[str]]]:
     """The licenses of each block; a block without one has a row with None."""
     out = []
-    for lo, hi in blocks(text) if text else ():
+    found = blocks(text) if text else []
+    if found and not tools:
+        tools = compressors()
+    for lo, hi in found:
         block = text[lo:hi]
-        best, many = judge(block, percent), occurrences(block, percent)
+        best, many = judge(block, percent, tools), occurrences(block, percent, tools)
         if len(many) > 1:
             out += [(lo + a, lo + b, *rest) for a, b, *rest in many]
             words = {w for a, b, *_ in many for w in WORD.findall(block[a:b].lower())}
@@ -210,8 +226,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = compressors()
         for part in slices(batches):
-            found = [find_licenses(t, percent) for t in part.column(1).to_pylist()]
+            found = [find_licenses(t, percent, tools) for t in part.column(1).to_pylist()]
             n_blocks = [len(blocks(t)) if t else 0 for t in part.column(1).to_pylist()]
             sure = [[b for b in f if b[2]] for f in found]
             yield pa.RecordBatch.from_arrays(
