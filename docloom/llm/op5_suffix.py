@@ -132,13 +132,13 @@ def repeats_in_group(rows: list[tuple], window: int, prefix: int) -> dict[int, l
                 id_, start, anchor, windows, words = rows[r]
                 at = anchor - left  # the window's first word, counted from the row's first
                 if 0 <= at < windows:
-                    key, place = tuple(words[at:anchor]), (id_ is not None, id_ or 0, start + at)
+                    key, place = tuple(words[at:anchor]), ((id_ is not None, *([id_] if id_ is not None else [])), start + at)
                     own.append((r, key, place))
                     if key not in first or place < first[key]:
                         first[key] = place
             for r, key, place in own:
                 if place != first[key]:
-                    found.setdefault(r, []).append(place[2])
+                    found.setdefault(r, []).append(place[1])
         deeper: list[list[int]] = []
         for node in nodes:
             by: dict[bytes, list[int]] = {}
