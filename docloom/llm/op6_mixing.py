@@ -57,37 +57,42 @@ def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTH
     total = math.fsum([*weights.values(), other])
     if not total > 0 or min([*weights.values(), other]) < 0:
         raise ValueError("weights are not negative, and one is positive")
-    docs = docs.drop(*_ADDED)
-    group = F.when(F.col(source_col).isin(list(weights)), F.col(source_col)).otherwise(F.lit(None).cast("string"))
-    counts = docs.groupBy(group.alias("mix_group")).count()
+    carried = [c for c in docs.columns if c not in _ADDED]
+    group = F.when(docs[source_col].isin(list(weights)), docs[source_col])
+    # The row as one column, so that no name of its columns can clash with those added here.
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in carried]).alias("own"), docs[id_col].alias("id"), group.alias("key"), F.coalesce(docs[id_col].cast("string"), F.lit("null")).alias("name"))
+    counts = rows.groupBy("key").count()
     share = F.lit(other / total)
     for name, weight in weights.items():
-        share = F.when(F.col("mix_group") == name, weight / total).otherwise(share)
+        share = F.when(F.col("key") == name, weight / total).otherwise(share)
     whole = F.lit(float(size)) if size is not None else F.sum("count").over(Window.partitionBy(F.lit(0))).cast("double")
-    rates = counts.select("mix_group", (share * whole / F.col("count")).alias("rate")).select("mix_group", poisson_start(F.col("rate")).alias("mix_from"), poisson_table(F.col("rate")).alias("mix_table"))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    met = docs.withColumn("mix_key", group).join(F.broadcast(rates), F.col("mix_key").eqNullSafe(F.col("mix_group")))
-    u = uniform(seed, F.lit("count"), key)
-    copies = met.withColumn("mix_u", u).withColumn("mix_times", F.col("mix_from") + F.size(F.filter("mix_table", lambda c: c <= F.col("mix_u")))).where("mix_times > 0")
-    out = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_times").cast("long")))).drop("mix_key", "mix_group", "mix_from", "mix_table", "mix_u", "mix_times")
-    out = out.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), key, F.col("copy_no").cast("string"))))
-    return out.orderBy("mix_order", id_col, "copy_no")
+    rate = F.col("rate")
+    rates = counts.select("key", (share * whole / F.col("count")).alias("rate")).select(F.col("key").alias("rate_key"), poisson_start(rate).alias("low"), poisson_table(rate).alias("table"))
+    met = rows.join(F.broadcast(rates), F.col("key").eqNullSafe(F.col("rate_key"))).withColumn("u", uniform(seed, F.lit("count"), F.col("name")))
+    copies = met.withColumn("times", F.col("low") + F.size(F.filter("table", lambda c: c <= F.col("u")))).where("times > 0").drop("table")
+    out = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long"))))
+    out = out.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("name"), F.col("copy_no").cast("string"))))
+    return out.orderBy("mix_order", "id", "copy_no").select(*[F.col(f"own.`{c}`").alias(c) for c in carried], "copy_no", "mix_order")
 
 
 SQL = """
 WITH g AS (SELECT *, CASE WHEN source IN ({names}) THEN source END AS mix_group FROM documents),
 n AS (SELECT mix_group, count(*) AS n FROM g GROUP BY 1),
 r AS (SELECT mix_group, CASE {cases} ELSE {other} END * (SELECT sum(n)::DOUBLE FROM n) / n AS rate FROM n),
+s AS (SELECT mix_group, rate, CASE WHEN rate > {large} THEN trunc(rate - 10 * sqrt(rate) - 40)::BIGINT ELSE 0 END AS k0 FROM r),
+b AS (
+  SELECT mix_group, rate, k0, CASE WHEN k0 > 0
+    THEN exp(k0 * ln(rate / k0) - (rate - k0) - ln(2 * pi() * k0) / 2 - 1 / (12.0 * k0) + 1 / (360.0 * k0 * k0 * k0)) ELSE exp(-rate) END AS p0 FROM s),
 t AS (
-  WITH RECURSIVE t(mix_group, rate, k, p, c) AS (
-    SELECT mix_group, rate, 0, exp(-rate), exp(-rate) FROM r
+  WITH RECURSIVE t(mix_group, rate, k0, k, p, c) AS (
+    SELECT mix_group, rate, k0, k0, p0, p0 FROM b
     UNION ALL
-    SELECT mix_group, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM t WHERE k < CAST(floor(rate + 10 * sqrt(rate) + 40) AS INT))
-  SELECT mix_group, list(c) AS cs FROM t GROUP BY 1),
+    SELECT mix_group, rate, k0, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM t WHERE k < CAST(floor(rate + 10 * sqrt(rate) + 40) AS BIGINT))
+  SELECT mix_group, any_value(k0) AS k0, list(c) AS cs FROM t GROUP BY 1),
 u AS (
-  SELECT g.*, cs, ('0x' || substr(md5('{seed}:count:' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u
+  SELECT g.*, k0, cs, ('0x' || substr(md5('{seed}:count:' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u
   FROM g JOIN t ON g.mix_group IS NOT DISTINCT FROM t.mix_group),
-e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, len(list_filter(cs, lambda x: x <= u)) + 1)) AS copy_no FROM u)
+e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, k0 + len(list_filter(cs, lambda x: x <= u)) + 1)) AS copy_no FROM u)
 SELECT doc_id, text, lang, source, n_chars, copy_no, md5('{seed}:order:' || doc_id || ':' || copy_no) AS mix_order FROM e
 """
 
@@ -96,4 +101,4 @@ def sql(weights: dict[str, float] = WEIGHTS, other: float = OTHER, seed: str = S
     """The mix of ``documents`` in DuckDB's SQL, without its order."""
     total = math.fsum([*weights.values(), other])
     cases = " ".join(f"WHEN mix_group = '{k}' THEN {v / total!r}::DOUBLE" for k, v in weights.items())
-    return SQL.format(names=", ".join(f"'{k}'" for k in weights), cases=cases, other=f"{other / total!r}::DOUBLE", seed=seed)
+    return SQL.format(names=", ".join(f"'{k}'" for k in weights), cases=cases, other=f"{other / total!r}::DOUBLE", seed=seed, large=LARGE)
