@@ -8,8 +8,7 @@ in its parent's proportions. Only ids, hosts and four numbers per row are shuffl
 sums are made map-side first, so a host with a third of the rows is one row per task.
 
 The text model is fitted on a bounded sample: of each language, the ``per_language`` labelled
-documents with the least hash of their id (texts of at most ``sample_chars`` characters are cut in the
-sample only, scored rows are read whole). Everything else is computed over all rows.
+documents with the least hash of their id and text, read whole. Everything else is computed over all rows.
 
 Texts of no language of the model are ``other``. Each labelled sample is scored by a model of the other
 half of it; a language's floor is ``DEVIATIONS`` deviations below the median of these scores for each
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from docloom.llm.common import arrow_map, slices, stage, utf8_list
 
 LANGUAGES = ("de", "en", "es", "fr")
-PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
+PER_LANGUAGE = 400
 SLOTS = 1 << 16
 TEMPER, AGREE, STRENGTH = 0.25, 0.9, 20.0
 #: Country suffixes that speak for a language.
@@ -73,17 +72,20 @@ def slots(text: bytes) -> np.ndarray:
     return (x >> 16).astype(np.int64)
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, languages: tuple[str, ...], per_language: int, sample_chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, languages: tuple[str, ...], per_language: int) -> tuple[np.ndarray, np.ndarray]:
     """(slot, language) log likelihoods from the bounded sample, even where nothing was seen; ``floors``."""
-    ids: list = []
-    for lang in languages:  # two narrow columns are scanned; per_language rows come back
-        own = docs.where((F.col(lang_col) == lang) & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-        ids += [r[0] for r in own.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(per_language).collect()]
     table = np.full((2, SLOTS, len(languages)), 0.25)
+    own = docs.where(F.col(lang_col).isin(list(languages)) & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    keyed = own.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("spot"), F.pmod(F.xxhash64(F.lit("half"), id_col), F.lit(2)).cast("int").alias("half"))
+    # Of each language the hash of its last row in the sample: narrow columns are scanned and partial lists kept.
+    bounds = [(lang, [r.spot for r in keyed.where(F.col("lang") == lang).select("spot").orderBy("spot").limit(per_language).collect()]) for lang in languages]
+    picked = [(F.col("lang") == lang) & (F.col("spot") <= spots[-1]) for lang, spots in bounds if spots]
     sample = None
-    if ids:
-        half = F.pmod(F.xxhash64(F.lit("half"), id_col), F.lit(2)).cast("int")
-        sample = docs.where(F.col(id_col).isin(ids) & F.col(lang_col).isin(list(languages))).select(lang_col, F.substring(text_col, 1, sample_chars).alias("text"), half.alias("half"))
+    if picked:
+        last = picked[0]
+        for more in picked[1:]:
+            last = last | more
+        sample = keyed.where(last).select("lang", "text", "half")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, SLOTS, len(languages)), np.int64)
