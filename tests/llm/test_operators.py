@@ -176,6 +176,21 @@ def test_licenses(block, name):
     assert not found or (found[0][0], found[0][1]) == (4, 4 + len(block))
 
 
+def test_license_rows_against_the_function(spark):
+    rng = random.Random(41)
+    notices = [t for t, _ in op3_license.TEMPLATES.values()]
+    texts = {i: "\n".join(rng.choice([" ".join(prose(rng, 9)), rng.choice(notices), ""]) for _ in range(6)) for i in range(30)}
+    docs = frame(spark, texts)
+    more = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = op3_license.scan_licenses(more).collect()
+    assert len(rows) == 32
+    for r in rows:
+        found = [f for f in op3_license.find_licenses(texts[4 if r.doc_id is None else r.doc_id]) if f[2]]
+        assert r.n_licenses == len(found) and r.licenses == ",".join(sorted({f[2] for f in found}))
+        assert r.spans == ",".join(f"{f[2]}:{f[0]}:{f[1]}" for f in found)
+    assert op3_license.scan_licenses(docs.limit(0)).count() == 0
+
+
 def test_license_edge_rows(spark):
     got = op3_license.scan_licenses(frame(spark)).collect()
     assert len(got) == len(CORPUS) and all(r.n_licenses == 0 for r in got)
@@ -303,6 +318,13 @@ def test_substring_dedup_equals_brute_force(spark, window, prefix, group):
         assert r.kept == " ".join(truth[r.doc_id]) and r.kept_sha256 == hashlib.sha256(r.kept.encode()).hexdigest()
 
 
+def test_substring_dedup_of_string_ids(spark):
+    text = " ".join(prose(random.Random(31), 30))
+    docs = spark.createDataFrame([("", text + " a"), ("x", text + " b"), (None, "c " + text)], "doc_id string, text string")
+    got = {r.doc_id: r.n_removed for r in op5_suffix.removal(docs).collect()}
+    assert got == {None: 0, "": 30, "x": 30}
+
+
 def test_substring_dedup_empty(spark):
     assert op5_suffix.removal(frame(spark).limit(0)).count() == 0
 
@@ -590,6 +612,15 @@ def test_declared_language_is_read_from_the_whole_page():
     assert op9_language.declared_language("<!-- <html lang=de> --><p>") is None
 
 
+@pytest.mark.parametrize("name", [k for k, (t, _) in op3_license.TEMPLATES.items() if len(t) > 150])
+def test_hard_wrapped_notices_are_one_block(name):
+    import textwrap
+
+    wrapped = "\n".join(textwrap.wrap(op3_license.TEMPLATES[name][0], 50))
+    found = op3_license.find_licenses(f"Quarterly figures went up.\n\n{wrapped}\n\nQuarterly figures went down.")
+    assert [f[2] for f in found] == [name]
+
+
 def test_every_license_of_a_block_is_found():
     names = lambda text: [f[2] for f in op3_license.find_licenses(text)]
     wordings = [(k, t) for k, (t, _) in op3_license.TEMPLATES.items()]
@@ -602,6 +633,28 @@ def test_every_license_of_a_block_is_found():
     assert [f[:3] for f in found] == [(2, 32, "MIT"), (34, 58, "CC-BY-4.0")]
 
 
+def test_mixing_carries_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "src0", "a", 2, 3, 4), (None, None, "b", 5, 6, 7)], "doc_id long, source string, key string, mix_group long, times long, own long")
+    got = op6_mixing.mix(docs, size=40)
+    assert got.columns == [*docs.columns, "copy_no", "mix_order"]
+    assert {(r.doc_id, r.key, r.mix_group, r.times, r.own) for r in got.collect()} <= {(1, "a", 2, 3, 4), (None, "b", 5, 6, 7)}
+
+
+def test_mixing_sql_of_large_rates(spark, tmp_path):
+    """Sources of one to three documents beside 4,000 others: rates of 60 to 2,000, in the operator and in its SQL."""
+    import duckdb
+
+    rows = [(i, f"t{i}", "en", "src9" if i > 5 else "src0" if i < 2 else "src1", 2) for i in range(1, 4001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    weights = {"src0": 40.0, "src1": 20.0, "src9": 20.0}
+    want = {tuple(r) for r in con.execute(f"SELECT doc_id, copy_no, mix_order FROM ({op6_mixing.sql(weights, 0.0)})").fetchall()}
+    got = {tuple(r) for r in op6_mixing.mix(docs, weights, 0.0).select("doc_id", "copy_no", "mix_order").collect()}
+    assert got == want and sum(r[0] == 1 for r in got) > 1500
+
+
 def test_mixing_of_large_rates(spark):
     docs = spark.range(1, 7).selectExpr("id AS doc_id", "'src0' AS source")
     for rate in (690, 701, 1000, 5000):
