@@ -127,14 +127,14 @@ _ONE = """'{"description": " ' || name || '  x ", "hs_code": "' || hs_code || '"
 #: Model responses: a list in an object, a fenced list, truncated, a refusal, null, a single object.
 RESPONSES = f"""
 SELECT doc_id, position, name, hs_code, quantity, CAST((doc_id + position) % 6 AS INT) AS kind, CASE CAST((doc_id + position) % 6 AS INT)
-  WHEN 0 THEN '{{{{"items": [' || {_ONE.replace('{', '{{').replace('}', '}}')} || ', {{{{"description": "null"}}}}, 7]}}}}'
-  WHEN 1 THEN 'Here: ```json' || chr(10) || '[' || {_ONE.replace('{', '{{').replace('}', '}}')} || ']```'
-  WHEN 2 THEN '{{{{"items": [{{{{"description": "abc"' WHEN 3 THEN 'I cannot help.' WHEN 4 THEN NULL
-  ELSE '{{{{"description": "' || name || '", "hs_code": " none "}}}}' END AS raw
+  WHEN 0 THEN '{{"items": [' || {_ONE} || ', {{"description": "null"}}, 7]}}'
+  WHEN 1 THEN 'Here: ```json' || chr(10) || '[' || {_ONE} || ']```'
+  WHEN 2 THEN '{{"items": [{{"description": "abc"' WHEN 3 THEN 'I cannot help.' WHEN 4 THEN NULL
+  ELSE '{{"description": "' || name || '", "hs_code": " none "}}' END AS raw
 FROM ({ITEMS}) x
 """
 BROKEN = f"""
-SELECT doc_id, position, CASE CAST((doc_id + position) % 4 AS INT) WHEN 0 THEN '```json {{{{"n": ' || position || ',}}}} ```' WHEN 1 THEN '{{{{"n": None}}}}' WHEN 2 THEN 'nothing' ELSE '{{{{"n": ' || position || ', "list": "x"}}}}' END AS raw FROM ({ITEMS}) x
+SELECT doc_id, position, CASE CAST((doc_id + position) % 4 AS INT) WHEN 0 THEN '```json {{"n": ' || position || ',}} ```' WHEN 1 THEN '{{"n": None}}' WHEN 2 THEN 'nothing' ELSE '{{"n": ' || position || ', "list": "x"}}' END AS raw FROM ({ITEMS}) x
 """
 
 
@@ -142,7 +142,7 @@ def _plain(statement: str) -> str:
     """A rendered statement for DuckDB, where tables are views."""
     for t in TABLES:
         statement = statement.replace("{" + t + "}", t)
-    return statement.replace("{{", "{").replace("}}", "}").replace("AS STRING", "AS VARCHAR")
+    return statement.replace("AS STRING", "AS VARCHAR")
 
 
 def _clean_lines(column: str) -> str:
