@@ -6,7 +6,10 @@ from pyspark.sql import Column, functions as F
 
 from docloom.functions.text import fold, strip
 
-ITEM_KEYS = ("description", "hs_code", "quantity", "currency_code", "currency_name", "product_name", "technical_description")
+# Keys of items that are kept as they are.
+ITEM_NUMBERS = ("quantity", "price", "cost")
+ITEM_TEXTS = ("unit", "country_origin", "country_origin_code", "country_sender", "document_number", "document_date")
+TECHNICAL_TEXTS = ("model", "country_origin", "document_date", "document_number")
 
 
 def unfenced(c: Column) -> Column:
@@ -57,20 +60,23 @@ def _is_object(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 
 
+def _said(c: Column) -> Column:
+    return F.when(~F.lower(strip(c)).isin("none", "null", ""), c)
+
+
 def invoice_items(c: Column) -> Column:
-    """The response's items that have a description, with folded and cleaned fields."""
-    said = lambda x: x.isNotNull() & ~F.lower(strip(x)).isin("none", "null", "")
-    kept = F.filter(json_array(c), lambda v: _is_object(v) & said(text_of(v, "description")))
+    """The response's items that have a description, with all thirteen fields; a missing one is null."""
+    kept = F.filter(json_array(c), lambda v: _is_object(v) & _said(text_of(v, "description")).isNotNull())
 
     def clean(v: Column) -> Column:
-        hs = text_of(v, "hs_code")
-        return F.struct(
-            fold(text_of(v, "description")).alias("description"),
-            F.when(said(hs), hs).alias("hs_code"),
-            F.try_variant_get(v, "$.quantity", "double").alias("quantity"),
-            F.nullif(F.upper(strip(text_of(v, "currency_code"))), F.lit("")).alias("currency_code"),
-            F.nullif(strip(text_of(v, "currency_name")), F.lit("")).alias("currency_name"),
-        )
+        made = {
+            "description": fold(text_of(v, "description")),
+            "hs_code": _said(text_of(v, "hs_code")),
+            "currency_code": F.nullif(F.upper(strip(text_of(v, "currency_code"))), F.lit("")),
+            "currency_name": F.nullif(strip(text_of(v, "currency_name")), F.lit("")),
+        }
+        made |= {k: F.try_variant_get(v, f"$.{k}", "double") for k in ITEM_NUMBERS} | {k: text_of(v, k) for k in ITEM_TEXTS}
+        return F.struct(*[x.alias(k) for k, x in made.items()])
 
     return F.transform(kept, clean)
 
@@ -86,16 +92,42 @@ def invoice_verdict(c: Column) -> Column:
 
 
 def technical_items(c: Column) -> Column:
-    """struct(is_valid, items): unlike J3 a response without JSON is invalid."""
+    """struct(is_valid, reason, items): unlike J3 a response without JSON is invalid, a short one as a refusal."""
     text = F.regexp_replace(F.coalesce(strip(c), F.lit("")), r"^[^{}\[\]]*", "")
     has_list = text.rlike(r"(?s)\[.*\]")
     listed = F.try_variant_get(F.try_parse_json(_span(text, r"(?s)\[.*\]")), "$", "array<variant>")
     one = F.try_parse_json(_span(text, r"(?s)\{.*\}"))
     found = F.when(has_list, listed).otherwise(F.coalesce(F.try_variant_get(one, "$.items", "array<variant>"), F.when(one.isNotNull(), F.array(one))))
-    name = lambda v, key: fold(F.coalesce(F.nullif(text_of(v, key), F.lit("")), text_of(v, "description"), F.lit("")))
-    kept = F.filter(found, lambda v: _is_object(v) & ((name(v, "product_name") != "") | (name(v, "technical_description") != "")))
-    items = F.transform(kept, lambda v: F.struct(F.nullif(name(v, "product_name"), F.lit("")).alias("product_name"), F.nullif(name(v, "technical_description"), F.lit("")).alias("technical_description")))
-    return F.struct(found.isNotNull().alias("is_valid"), items.alias("items"))
+    name = lambda v, key: F.nullif(fold(F.coalesce(F.nullif(text_of(v, key), F.lit("")), text_of(v, "description"))), F.lit(""))
+    kept = F.filter(found, lambda v: _is_object(v) & (name(v, "product_name").isNotNull() | name(v, "technical_description").isNotNull()))
+
+    def clean(v: Column) -> Column:
+        made = {k: name(v, k) for k in ("product_name", "technical_description")} | {"hs_code": _said(text_of(v, "hs_code"))}
+        made |= {k: text_of(v, k) for k in TECHNICAL_TEXTS}
+        return F.struct(*[x.alias(k) for k, x in made.items()])
+
+    short = F.length(F.coalesce(strip(c), F.lit(""))) < 200
+    reason = F.when(found.isNotNull(), "").when(short, "refusal").otherwise("unparsable")
+    return F.struct(found.isNotNull().alias("is_valid"), reason.alias("reason"), F.transform(kept, clean).alias("items"))
+
+
+def deep_merge(base: Column, over: Column, shape: dict[str, object], path: str = "$") -> Column:
+    """Struct of two variants' fields, ``over`` winning at every depth.
+
+    shape names the fields: a nested dict for an object, a type for a value. A null or a value that ``over``
+    has in the place of an object replaces the object; only what it doesn't have comes from ``base``.
+    """
+    at = lambda v, p: F.try_variant_get(v, p, "variant")
+
+    def one(name: str, kind: object) -> Column:
+        place = f"{path}.{name}"
+        if isinstance(kind, dict):
+            replaced = at(over, place).isNotNull() & ~F.coalesce(_is_object(at(over, place)), F.lit(False))
+            kept = F.when(~replaced, base)
+            return deep_merge(kept, over, kind, place)
+        return F.when(at(over, place).isNotNull(), F.try_variant_get(over, place, kind)).otherwise(F.try_variant_get(base, place, kind))
+
+    return F.struct(*[one(name, kind).alias(name) for name, kind in shape.items()])
 
 
 def as_list(v: Column) -> Column:

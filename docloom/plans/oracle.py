@@ -123,21 +123,31 @@ FROM ({ITEMS}) x
 REPEATED = f"""
 SELECT doc_id, position, CASE WHEN (position + doc_id) % 3 = 0 THEN ' Same  Name' ELSE name END AS description, CASE WHEN position % 2 = 0 THEN 0 ELSE CAST((position + doc_id) % 3 AS INT) END AS quantity FROM ({ITEMS}) x
 """
-_ONE = """'{"description": " ' || name || '  x ", "hs_code": "' || hs_code || '", "quantity": ' || quantity || ', "currency_code": " usd "}'"""
+_ONE = """'{"description": " ' || name || '  x ", "hs_code": "' || hs_code || '", "quantity": ' || quantity || ', "currency_code": " usd ", "unit": "pcs", "price": ' || price || ', "cost": ' || cost || ', "country_origin": "Китай", "country_origin_code": "CN", "country_sender": null, "document_number": "N-' || doc_id || '", "document_date": "12.03.2024", "model": "M' || position || '"}'"""
 #: Model responses: a list in an object, a fenced list, truncated, a refusal, null, a single object.
 RESPONSES = f"""
-SELECT doc_id, position, name, hs_code, quantity, CAST((doc_id + position) % 6 AS INT) AS kind, CASE CAST((doc_id + position) % 6 AS INT)
+SELECT doc_id, position, name, hs_code, quantity, price, cost, CAST((doc_id + position) % 6 AS INT) AS kind, CASE CAST((doc_id + position) % 6 AS INT)
   WHEN 0 THEN '{{"items": [' || {_ONE} || ', {{"description": "null"}}, 7]}}'
   WHEN 1 THEN 'Here: ```json' || chr(10) || '[' || {_ONE} || ']```'
   WHEN 2 THEN '{{"items": [{{"description": "abc"' WHEN 3 THEN 'I cannot help.' WHEN 4 THEN NULL
   ELSE '{{"description": "' || name || '", "hs_code": " none "}}' END AS raw
 FROM ({ITEMS}) x
 """
+MERGED = f"""
+SELECT doc_id, position, CAST((doc_id + position) % 5 AS INT) AS kind, '{{"n": -1, "code": {{"list": "2020", "value": "' || name || '", "more": {{"a": 1}}}}}}' AS base,
+  CASE CAST((doc_id + position) % 5 AS INT) WHEN 0 THEN '{{"n": ' || position || ', "x": [1]}}' WHEN 1 THEN '{{"code": {{"value": "v' || doc_id || '", "more": {{"b": 2}}}}}}'
+  WHEN 2 THEN '{{"n": null, "code": null}}' WHEN 3 THEN '{{"code": {{"more": {{"a": ' || position || '}}, "list": null}}}}' ELSE '{{"code": [1, 2]}}' END AS over
+FROM ({ITEMS}) x
+"""
 BROKEN = f"""
 SELECT doc_id, position, CASE CAST((doc_id + position) % 4 AS INT) WHEN 0 THEN '```json {{"n": ' || position || ',}} ```' WHEN 1 THEN '{{"n": None}}' WHEN 2 THEN 'nothing' ELSE '{{"n": ' || position || ', "list": "x"}}' END AS raw FROM ({ITEMS}) x
 """
 
 
+_given = """CASE WHEN kind <> 5 THEN 'pcs' END AS unit, CASE WHEN kind <> 5 THEN 'Китай' END AS country_origin, CASE WHEN kind <> 5 THEN 'CN' END AS country_origin_code, NULL::VARCHAR AS country_sender,
+    CASE WHEN kind <> 5 THEN 'N-' || doc_id END AS document_number, CASE WHEN kind <> 5 THEN '12.03.2024' END AS document_date"""
+
+
 def _plain(statement: str) -> str:
     """A rendered statement for DuckDB, where tables are views."""
     for t in TABLES:
@@ -258,11 +268,17 @@ def sql() -> dict[str, str]:
         "j1_json_array": f"SELECT doc_id, position, CASE kind WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS n FROM ({responses})",
         "j2_verdict": f"SELECT doc_id, position, 0 AS is_valid, CASE kind WHEN 0 THEN 'not array' WHEN 5 THEN 'not array' WHEN 4 THEN 'empty' ELSE 'invalid' END AS reason FROM ({responses})",
         "j3_invoice_items": f"""SELECT doc_id, position, CASE WHEN kind = 5 THEN name ELSE name || ' x' END AS description, CASE WHEN kind <> 5 THEN hs_code END AS hs_code, CASE WHEN kind <> 5 THEN quantity::DOUBLE END AS quantity,
-            CASE WHEN kind <> 5 THEN 'USD' END AS currency_code, NULL::VARCHAR AS currency_name FROM ({responses}) WHERE {good}""",
-        "j4_technical_items": f"SELECT doc_id, position, {good} AS is_valid, CASE kind WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS n_items FROM ({responses})",
+            CASE WHEN kind <> 5 THEN 'USD' END AS currency_code, NULL::VARCHAR AS currency_name, CASE WHEN kind <> 5 THEN price::DOUBLE END AS price, CASE WHEN kind <> 5 THEN cost::DOUBLE END AS cost, {_given} FROM ({responses}) WHERE {good}""",
+        "j4_technical_items": f"""SELECT doc_id, position, {good} AS is_valid, CASE WHEN {good} THEN '' ELSE 'refusal' END AS reason, CASE WHEN {good} THEN i::INT END AS item_no,
+            CASE WHEN i = 1 THEN 'null' WHEN kind = 5 THEN name WHEN {good} THEN name || ' x' END AS product_name, CASE WHEN i = 1 THEN 'null' WHEN kind = 5 THEN name WHEN {good} THEN name || ' x' END AS technical_description,
+            CASE WHEN i = 0 AND kind < 2 THEN hs_code END AS hs_code, CASE WHEN i = 0 AND kind < 2 THEN 'M' || position END AS model, CASE WHEN i = 0 AND kind < 2 THEN 'Китай' END AS country_origin,
+            CASE WHEN i = 0 AND kind < 2 THEN '12.03.2024' END AS document_date, CASE WHEN i = 0 AND kind < 2 THEN 'N-' || doc_id END AS document_number
+            FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 2 ELSE 1 END)) AS i FROM ({responses}))""",
         "j5_json_object": f"SELECT doc_id, position, CASE kind WHEN 1 THEN ' ' || name || '  x ' WHEN 5 THEN name END AS description FROM ({responses})",
         "j6_repaired_object": f"SELECT doc_id, position, CASE WHEN (doc_id + position) % 4 IN (0, 3) THEN position END AS n FROM ({broken})",
-        "j7_deep_merge": f"SELECT doc_id, position, CASE WHEN (doc_id + position) % 4 IN (0, 3) THEN position ELSE -1 END AS n, '2021' AS code_list FROM ({broken})",
+        "j7_deep_merge": f"""SELECT doc_id, position, CASE kind WHEN 0 THEN position WHEN 2 THEN NULL ELSE -1 END AS n, CASE WHEN kind IN (0, 3) THEN name WHEN kind = 1 THEN 'v' || doc_id END AS value,
+            CASE WHEN kind IN (0, 1) THEN 1 WHEN kind = 3 THEN position END::INT AS a, CASE WHEN kind IN (0, 1) THEN '2020' END AS merged_list, '2021' AS code_list
+            FROM (SELECT doc_id, position, name, ((doc_id + position) % 5)::INT AS kind FROM ({_plain(ITEMS)}))""",
         "j8_as_list": f"SELECT doc_id, position, CASE WHEN {good} THEN 1 ELSE 0 END AS n FROM ({responses})",
         "c1_invoice_chunks": _chunks(2000, 400, 1000),
         "c2_technical_chunks": _chunks(5000, 600, 2000),

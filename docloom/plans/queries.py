@@ -218,7 +218,8 @@ def j3_invoice_items(spark, sf):
 
 @_query
 def j4_technical_items(spark, sf):
-    return run(spark, sf, oracle.RESPONSES).select("doc_id", "position", js.technical_items(F.col("raw")).alias("t")).select("doc_id", "position", "t.is_valid", F.coalesce(F.size("t.items"), F.lit(0)).alias("n_items"))
+    rows = run(spark, sf, oracle.RESPONSES).select("doc_id", "position", js.technical_items(F.col("raw")).alias("t"))
+    return rows.select("doc_id", "position", "t.is_valid", "t.reason", F.posexplode_outer("t.items").alias("item_no", "i")).select("doc_id", "position", "is_valid", "reason", "item_no", "i.*")
 
 
 @_query
@@ -233,10 +234,11 @@ def j6_repaired_object(spark, sf):
 
 @_query
 def j7_deep_merge(spark, sf):
-    rows = run(spark, sf, oracle.BROKEN)
-    constant = F.struct(F.lit("2021").alias("list"), F.lit(-1).alias("n"))
-    own = F.from_json(js.repaired(js.unfenced(F.col("raw"))), "n int, list string")
-    return rows.select("doc_id", "position", F.coalesce(own["n"], constant["n"]).alias("n"), constant["list"].alias("code_list"))
+    rows = run(spark, sf, oracle.MERGED)
+    shape = {"n": "int", "code": {"list": "string", "value": "string", "more": {"a": "int"}}}
+    merged = rows.select("doc_id", "position", js.deep_merge(F.parse_json("base"), F.parse_json("over"), shape).alias("m"))
+    # A null can override a constant, so constants are set again.
+    return merged.select("doc_id", "position", "m.n", F.col("m.code.value").alias("value"), F.col("m.code.more.a").alias("a"), F.col("m.code.list").alias("merged_list"), F.lit("2021").alias("code_list"))
 
 
 @_query
