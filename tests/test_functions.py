@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.functions import text as tx, values as va
+from docloom.functions import jsontext as js, protocol as pr, text as tx, values as va
 from docloom.operators import chunks, items as it
 from docloom.operators.scan_table import number_value, parse_row, scan_table_items
 from docloom.plans import queries
@@ -82,3 +82,35 @@ def test_streamed_jobs_end_as_batch_jobs_do(spark, tmp_path):
 
 def test_every_sql_has_a_query():
     assert set(queries.oracle_sql()) <= set(queries.queries()) and queries.FLAGSHIP in queries.queries()
+
+
+def test_protocol_header_takes_the_dated_number_first(spark):
+    got = one(spark, "номер протокола: 77\n№ 12 от 01.01.2024", pr.doc_header)
+    assert (got.id, got.date) == ("12", "2024-01-01T00:00:00")
+    assert one(spark, "номер протокола: 77", pr.doc_header).id == "77"
+
+
+def test_laboratory_name_ends_before_what_it_is(spark):
+    assert one(spark, "ТОО «Эксперт Сервис» испытательная лаборатория пищевой продукции", pr.laboratory) == "ТОО «Эксперт Сервис»"
+    assert one(spark, "ТОО испытательная лаборатория", pr.laboratory) == "ТОО испытательная лаборатория"
+
+
+def test_bare_certificate_id(spark):
+    assert one(spark, "ТОО «Лаб»\nKZ.Т.02.1234 действителен до 01.02.2026", lambda c: pr.accreditation(c, c)["id"]) == "KZ.T.02.1234"
+
+
+def test_deep_merge(spark):
+    shape = {"a": "int", "b": {"c": "string", "d": "string"}}
+    base = '{"a": 1, "b": {"c": "x", "d": "y"}}'
+    cases = {"{}": (1, "x", "y"), '{"a": null}': (None, "x", "y"), '{"b": {"d": "z"}}': (1, "x", "z"), '{"b": [1]}': (1, None, None), '{"b": null}': (1, None, None), '{"b": {"c": null}}': (1, None, "y")}
+    for over, wanted in cases.items():
+        got = one(spark, over, lambda c: js.deep_merge(F.parse_json(F.lit(base)), F.parse_json(c), shape))
+        assert (got.a, got.b.c, got.b.d) == wanted
+
+
+def test_items_keep_all_fields(spark):
+    raw = '[{"description": " a  b ", "hs_code": "null", "price": 2.5, "cost": "7", "unit": "pcs", "country_sender": "DE", "document_date": "1.2.2024"}, {"description": "none"}, 3]'
+    (item,) = one(spark, raw, js.invoice_items)
+    assert len(item) == 13 and (item.description, item.hs_code, item.price, item.cost, item.unit, item.country_sender, item.document_date, item.quantity) == ("a b", None, 2.5, 7.0, "pcs", "DE", "1.2.2024", None)
+    refused = one(spark, "I cannot help.", js.technical_items)
+    assert (refused.is_valid, refused.reason) == (False, "refusal")
