@@ -26,6 +26,7 @@ columns are ignored by ``line_dedup`` and carried along, whatever their names, b
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,8 +43,10 @@ MIN_WORDS, PERCENT, BITS = 5, 80, 3
 BANDS, AGREE, SKETCHED = 10, 3, 8
 #: Bytes and samples of a band's shingles in length ranges that begin below SHORT bytes, and in longer ones.
 SHORT, SHORT_SHINGLE, LONG_SHINGLE = 48, (5, 2), (12, 2)
-#: Longer lines are compared one pair at a time.
-LONG_LINE = 2000
+#: Longer lines are compared one pair at a time, and so are those of which a table of letters would have more entries.
+LONG_LINE, MOST_TABLE = 2000, 4_000_000
+#: Characters of the grams that two lines are first compared by, and the most places of a line's table of them.
+GRAM, GRAM_PLACES = 2, 1024
 #: Shorter lines, of fewer words than MIN_WORDS, are only compared for equality.
 LEAST_CHARS = 20
 
@@ -228,50 +231,102 @@ def word_distance(a: str, b: str, most: int) -> int:
     return cost + sum(len(w) + 1 for w in x[i:]) + sum(len(w) + 1 for w in y[j:])
 
 
+def _distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Levenshtein's distance of each pair, none empty: a column of all pairs' tables at a time, 64 rows in a word (Myers 1999)."""
+    n = len(a)
+    points = [np.frombuffer("".join(side).encode("utf-32-le"), np.uint32) for side in (a, b)]
+    points = np.concatenate(points)
+    letters = np.flatnonzero(np.bincount(points))
+    code = np.zeros(letters[-1] + 1, np.int64)
+    code[letters] = np.arange(len(letters))
+    codes = code[points]
+    sizes = [np.array([len(x) for x in side]) for side in (a, b)]
+    table = []
+    for length, own in zip(sizes, np.split(codes, [sizes[0].sum()]), strict=True):
+        at = np.arange(length.max()) < length[:, None]
+        # Beyond a line's end stands a letter that no line has.
+        full = np.full(at.shape, len(letters))
+        full[at] = own
+        table.append(full.T)
+    words = -(-len(table[0]) // 64)
+    same = np.zeros((len(letters) + 1, n, words), np.uint64)
+    each = np.arange(n)
+    for i, letter in enumerate(table[0]):
+        same[letter, each, i // 64] |= np.uint64(1 << i % 64)
+    same[-1] = 0
+    one, top = np.uint64(1), np.uint64(63)
+    up, down = [np.full(n, 2**64 - 1, np.uint64) for _ in range(words)], [np.zeros(n, np.uint64) for _ in range(words)]
+    rows = np.clip(sizes[0][None, :] - 64 * np.arange(words)[:, None], 0, 64)
+    inside = np.where(rows == 64, np.uint64(2**64 - 1), (one << (rows % 64).astype(np.uint64)) - one)
+    out = np.zeros(n, np.int64)
+    for j, letter in enumerate(table[1]):
+        level = same[letter, each]
+        plus_in, minus_in = np.ones(n, np.uint64), np.zeros(n, np.uint64)
+        for w in range(words):
+            equal, rise, fall = level[:, w], up[w], down[w]
+            across = equal | fall
+            equal = equal | minus_in
+            along = (((equal & rise) + rise) ^ rise) | equal
+            plus, minus = fall | ~(along | rise), rise & along
+            plus_out, minus_out = plus >> top, minus >> top
+            plus, minus = plus << one | plus_in, minus << one | minus_in
+            up[w], down[w] = minus | ~(across | plus), plus & across
+            plus_in, minus_in = plus_out, minus_out
+        if (done := sizes[1] == j + 1).any():
+            steps = sum(np.bitwise_count(up[w] & inside[w]).astype(np.int64) - np.bitwise_count(down[w] & inside[w]) for w in range(words))
+            out[done] = j + 1 + steps[done]
+    return out
+
+
 def edits_within(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
-    """Whether each pair's edit distance is at most ``most``: the diagonals that can matter, of many pairs at a time, until all exceed it."""
+    """Whether each pair's edit distance is at most ``most``; pairs of like lengths are compared together."""
     out = np.zeros(len(a), bool)
-    order = sorted(range(len(a)), key=lambda i: (most[i], len(a[i])))
-    long = [i for i in order if max(len(a[i]), len(b[i])) > LONG_LINE]
-    out[long] = [edit_distance(a[i], b[i]) <= most[i] for i in long]
-    order = [i for i in order if max(len(a[i]), len(b[i])) <= LONG_LINE and abs(len(a[i]) - len(b[i])) <= most[i]]
-    for at in range(0, len(order), 256):
-        own = np.array(order[at : at + 256])
-        reach, rows = max(most[i] for i in own), max(len(a[i]) for i in own)
-        width = 2 * reach + 1
-        left, right = np.ones((len(own), rows), np.uint32), np.zeros((len(own), rows + width), np.uint32)
-        for r, i in enumerate(own):
-            left[r, : len(a[i])] = np.frombuffer(a[i].encode("utf-32-le"), np.uint32)
-            right[r, reach : reach + len(b[i])] = np.frombuffer(b[i].encode("utf-32-le"), np.uint32)[: rows + width - reach]
-        ends, limit = np.array([len(a[i]) for i in own]), np.array([most[i] for i in own], np.int16)
-        final = np.array([len(b[i]) - len(a[i]) + reach for i in own])
-        steps = np.arange(width, dtype=np.int16)
-        # Entry c of row i is the distance of the first i characters from the first i + c - reach.
-        table = np.tile(np.where(steps >= reach, steps - reach, 20_000).astype(np.int16), (len(own), 1))
-        for i in range(rows + 1):
-            if (done := ends == i).any():
-                out[own[done]] = table[done, final[done]] <= limit[done]
-            if i == rows or not len(own):
-                break
-            if i % 16 == 15:
-                stay = ~done & (ends > i) & (table.min(axis=1) <= limit)
-                own, left, right, ends, limit, final, table = (x[stay] for x in (own, left, right, ends, limit, final, table))
-            new = table + (right[:, i : i + width] != left[:, i, None])
-            np.minimum(new[:, :-1], table[:, 1:] + np.int16(1), out=new[:, :-1])
-            new -= steps
-            table = np.minimum.accumulate(new, axis=1)
-            table += steps
+    order = sorted((i for i in range(len(a)) if abs(len(a[i]) - len(b[i])) <= most[i]), key=lambda i: (len(a[i]), len(b[i])))
+    at = 0
+    while at < len(order):
+        words = len(a[order[at]]) // 64 + 1
+        end = bisect.bisect_left(order, 64 * words, at, min(len(order), at + 2048), key=lambda i: len(a[i]))
+        own = order[at:end]
+        at = end
+        left, right, limit = ([x[i] for i in own] for x in (a, b, most))
+        letters = len(set().union(*left, *right)) if len(own) > 8 * words else 0
+        if letters and words <= LONG_LINE // 64 and letters * words * len(own) <= MOST_TABLE and left[0] and min(map(len, right)):
+            out[own] = _distances(left, right) <= np.array(limit)
+        else:
+            out[own] = [word_distance(x, y, n) <= n or edit_distance(x, y) <= n for x, y, n in zip(left, right, limit, strict=True)]
     return out
 
 
+def gram_table(lines: list[str], places: int) -> np.ndarray:
+    """(line, place): how many of the line's grams are hashed to the place."""
+    x = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    of = np.repeat(np.arange(len(lines)), np.array([len(line) for line in lines], np.int64))
+    n = max(0, len(x) - GRAM + 1)
+    h = np.zeros(n, np.uint32)
+    for i in range(GRAM):
+        h = (h + x[i : i + n]) * np.uint32(0x9E3779B1)
+    inside = of[:n] == of[GRAM - 1 :]
+    spots = of[:n][inside] * places + ((h[inside] >> np.uint32(7)) & np.uint32(places - 1)).astype(np.int64)
+    return np.minimum(np.bincount(spots, minlength=len(lines) * places), 2**16 - 1).astype(np.uint16).reshape(len(lines), places)
+
+
+def gram_places(longest: int) -> int:
+    """Places of the tables of lines that are compared with each other: a power of 2."""
+    return min(GRAM_PLACES, 1 << (4 * longest).bit_length())
+
+
+def may_be_within(common: np.ndarray, longer: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """An edit changes at most GRAM grams, so the rest of the longer line's are in both lines of a pair within ``most`` edits.
+
+    ``common``, from tables of hashes, is their number or more; lines that could exceed the tables' numbers always pass.
+    """
+    return (common >= longer - GRAM + 1 - GRAM * most) | (longer >= 2**16)
+
+
 def similar(a: list[str], b: list[str], percent: int) -> list[bool]:
     """Whether the edit similarity of each pair, 1 - distance / longer length, is ``percent`` or more."""
     most = [max(len(x), len(y)) * (100 - percent) // 100 for x, y in zip(a, b, strict=True)]
-    out = [abs(len(x) - len(y)) <= n and word_distance(x, y, n) <= n for x, y, n in zip(a, b, most, strict=True)]
-    rest = [i for i, x in enumerate(out) if not x]
-    for i, x in zip(rest, edits_within(*([side[i] for i in rest] for side in (a, b, most))).tolist(), strict=True):
-        out[i] = x
-    return out
+    return edits_within(a, b, most).tolist()
 
 
 def block_lines(percent: int, bits: int | None):
@@ -292,19 +347,19 @@ def block_lines(percent: int, bits: int | None):
         for n, ((a, of_a, near, met_a), (b, of_b, far, met_b), key) in enumerate(blocks):
             a, b = [x.decode() for x in a], [x.decode() for x in b]
             sizes = np.array([len(x) for x in b])
+            places = gram_places(max(map(len, (*a, *b))))
+            grams_a, grams_b = gram_table(a, places), gram_table(b, places)
             for i, line in enumerate(a):
                 apart = near[i] ^ far
                 fits = np.bitwise_count(apart).sum(axis=1) <= bits if bits is not None else (apart.view(np.uint8) != 0).sum(axis=1) <= 2 * SKETCHED - AGREE
                 most = np.maximum(len(line), sizes) * (100 - percent) // 100
                 fits &= np.abs(len(line) - sizes) <= most
-                for j in np.flatnonzero(fits).tolist():
+                ids = np.flatnonzero(fits)
+                common = np.minimum(grams_a[i], grams_b[ids]).sum(axis=1, dtype=np.int64)
+                for j in ids[may_be_within(common, np.maximum(len(line), sizes[ids]), most[ids])].tolist():
                     if groups.root(of_a[i]) != groups.root(of_b[j]) and min(met_a[i] & met_b[j]) == key:
-                        if word_distance(line, b[j], int(most[j])) <= most[j]:
-                            groups.merge(of_a[i], of_b[j])
-                            yield n, i, j
-                        else:
-                            held.append((n, i, j, of_a[i], of_b[j], line, b[j], int(most[j])))
-                if len(held) >= 4096:
+                        held.append((n, i, j, of_a[i], of_b[j], line, b[j], int(most[j])))
+                if len(held) >= 16384:
                     yield from decided()
         yield from decided()
 
@@ -356,7 +411,7 @@ def _unequal_bytes(x: F.Column) -> F.Column:
 
 def _confirm(percent: int) -> Callable[[DataFrame], DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1024):
+        for part in slices(batches, 8192):
             keep = similar(part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), percent)
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 

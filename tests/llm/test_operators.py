@@ -555,6 +555,16 @@ def test_edit_distance_and_block_links():
     assert op10_lines.similar(left, right, 80) == [close(a, b) for a, b in zip(left, right)]
     for most in (0, 1, 3, 9):
         assert op10_lines.edits_within(left, right, [most] * len(left)).tolist() == [distance(a, b) <= most for a, b in zip(left, right)]
+    # Lines of several words of 64 rows, compared together, and no true pair refused by the grams.
+    long = [" ".join(rng.choice(("anna", "bé", "語言", "c")) for _ in range(rng.randrange(40, 70))) for _ in range(200)]
+    edited = ["".join(c for c in t if rng.random() > rng.choice((0.02, 0.15, 0.3))) for t in long]
+    apart = [op10_lines.edit_distance(a, b) for a, b in zip(long, edited)]
+    longer = np.array([max(len(a), len(b)) for a, b in zip(long, edited)])
+    assert op10_lines.similar(long, edited, 80) == [n <= size * 20 // 100 for n, size in zip(apart, longer.tolist())]
+    assert op10_lines._distances(long, edited).tolist() == apart == [distance(a, b) for a, b in zip(long, edited)]
+    places = op10_lines.gram_places(int(longer.max()))
+    common = np.minimum(op10_lines.gram_table(long, places), op10_lines.gram_table(edited, places)).sum(axis=1, dtype=np.int64)
+    assert op10_lines.may_be_within(common, longer, np.array(apart)).all()
     side = ([t.encode() for t in texts], list(range(len(texts))), np.zeros((len(texts), 2), np.int64), [{7}] * len(texts))
     found = [x[1:] for x in op10_lines.block_lines(80, None)([(side, side, 7)])]
     assert len(found) < len(texts)
