@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from docloom.functions.text import fold, strip
@@ -24,32 +26,56 @@ def repaired(c: Column) -> Column:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _balanced(found: Column) -> Column:
+    def of_bare(bare: Column) -> Column:
+        rest = lambda mark: F.length(F.replace(bare, F.lit(mark), F.lit("")))
+        return (rest("{") == rest("}")) & (rest("[") == rest("]"))
+
+    return let(F.regexp_replace(found, r'"(?:[^"\\]|\\.)*"', ""), of_bare)
+
+
 def _span(c: Column, pattern: str) -> Column:
     """The first match, if its brackets balance (the parser would accept what follows a value)."""
-    found = F.nullif(F.regexp_extract(c, pattern, 0), F.lit(""))
-    bare = F.regexp_replace(found, r'"(?:[^"\\]|\\.)*"', "")
-    count = lambda mark: F.length(bare) - F.length(F.replace(bare, F.lit(mark), F.lit("")))
-    return F.when((count("{") == count("}")) & (count("[") == count("]")), found)
+    return let(F.nullif(F.regexp_extract(c, pattern, 0), F.lit("")), lambda found: F.when(_balanced(found), found))
+
+
+def _parsed(c: Column, pattern: str) -> Column:
+    return F.try_parse_json(_span(c, pattern))
+
+
+def _from_bracket(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[^{}\[\]]*", "")
+
+
+def _listed(c: Column) -> Column:
+    return F.try_variant_get(_parsed(c, r"(?s)\[.*\]"), "$", "array<variant>")
+
+
+def _items_or_one(c: Column) -> Column:
+    """An object's items, else the object alone, else null."""
+    return let(_parsed(c, r"(?s)\{.*\}"), lambda one: F.coalesce(F.try_variant_get(one, "$.items", "array<variant>"), F.when(one.isNotNull(), F.array(one))))
 
 
 def json_array(c: Column) -> Column:
     """array<variant> in a text: a bracketed list, else an object's items, else the object alone, else none."""
-    text = F.regexp_replace(F.coalesce(strip(c), F.lit("")), r"^[^{}\[\]]*", "")
-    listed = F.try_variant_get(F.try_parse_json(_span(text, r"(?s)\[.*\]")), "$", "array<variant>")
-    one = F.try_parse_json(_span(text, r"(?s)\{.*\}"))
-    items = F.try_variant_get(one, "$.items", "array<variant>")
-    return F.coalesce(listed, items, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<variant>"))
+    none = F.array().cast("array<variant>")
+    return let(_from_bracket(F.coalesce(strip(c), F.lit(""))), lambda text: F.coalesce(_listed(text), _items_or_one(text), none))
 
 
 def json_object(c: Column) -> Column:
     """Variant of the text from the first to the last brace, null if it does not parse."""
-    return F.try_parse_json(_span(F.coalesce(c, F.lit("")), r"(?s)\{.*\}"))
+    return _parsed(F.coalesce(c, F.lit("")), r"(?s)\{.*\}")
 
 
 def repaired_object(c: Column) -> Column:
     """Like J5 without code fences, with a second try after repair; an empty object otherwise."""
-    text = unfenced(F.coalesce(c, F.lit("")))
-    return F.coalesce(F.try_parse_json(_span(text, r"(?s)\{.*\}")), F.try_parse_json(_span(repaired(text), r"(?s)\{.*\}")), F.parse_json(F.lit("{}")))
+    tried = lambda text: F.coalesce(_parsed(text, r"(?s)\{.*\}"), _parsed(repaired(text), r"(?s)\{.*\}"), F.parse_json(F.lit("{}")))
+    return let(unfenced(F.coalesce(c, F.lit(""))), tried)
 
 
 def text_of(v: Column, key: str) -> Column:
@@ -57,7 +83,7 @@ def text_of(v: Column, key: str) -> Column:
 
 
 def _is_object(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("OBJECT")
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def _said(c: Column) -> Column:
@@ -83,12 +109,19 @@ def invoice_items(c: Column) -> Column:
 
 def invoice_verdict(c: Column) -> Column:
     """struct(is_valid, reason) of a response that should be a list of items."""
-    text = unfenced(F.coalesce(c, F.lit("")))
-    parsed = F.try_parse_json(F.when(text.rlike(r"(?s)^[\[{]"), _span(text, r"(?s)^.*$")))
-    items = F.try_variant_get(parsed, "$", "array<variant>")
-    good = F.exists(items, lambda v: _is_object(v) & (F.coalesce(strip(text_of(v, "description")), F.lit("")) != ""))
-    reason = F.when(text == "", "empty").when(parsed.isNull(), "invalid").when(items.isNull(), "not array").when(~good, "no valid items").otherwise("")
-    return F.struct((reason == "").cast("int").alias("is_valid"), reason.alias("reason"))
+    good = lambda v: _is_object(v) & (F.coalesce(strip(text_of(v, "description")), F.lit("")) != "")
+
+    def of_items(items: Column) -> Column:
+        return F.when(items.isNull(), "not array").when(~F.exists(items, good), "no valid items").otherwise("")
+
+    def of_parsed(parsed: Column) -> Column:
+        return F.when(parsed.isNull(), "invalid").otherwise(let(F.try_variant_get(parsed, "$", "array<variant>"), of_items))
+
+    def of_text(text: Column) -> Column:
+        whole = F.when(text.rlike(r"(?s)^[\[{]"), text)
+        return F.when(text == "", "empty").otherwise(let(F.try_parse_json(F.when(_balanced(whole), whole)), of_parsed))
+
+    return let(let(unfenced(F.coalesce(c, F.lit(""))), of_text), lambda reason: F.struct((reason == "").cast("int").alias("is_valid"), reason.alias("reason")))
 
 
 def technical_items(c: Column) -> Column:
