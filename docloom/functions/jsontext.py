@@ -126,22 +126,29 @@ def invoice_verdict(c: Column) -> Column:
 
 def technical_items(c: Column) -> Column:
     """struct(is_valid, reason, items): unlike J3 a response without JSON is invalid, a short one as a refusal."""
-    text = F.regexp_replace(F.coalesce(strip(c), F.lit("")), r"^[^{}\[\]]*", "")
-    has_list = text.rlike(r"(?s)\[.*\]")
-    listed = F.try_variant_get(F.try_parse_json(_span(text, r"(?s)\[.*\]")), "$", "array<variant>")
-    one = F.try_parse_json(_span(text, r"(?s)\{.*\}"))
-    found = F.when(has_list, listed).otherwise(F.coalesce(F.try_variant_get(one, "$.items", "array<variant>"), F.when(one.isNotNull(), F.array(one))))
-    name = lambda v, key: F.nullif(fold(F.coalesce(F.nullif(text_of(v, key), F.lit("")), text_of(v, "description"))), F.lit(""))
-    kept = F.filter(found, lambda v: _is_object(v) & (name(v, "product_name").isNotNull() | name(v, "technical_description").isNotNull()))
+    names = ("product_name", "technical_description")
 
-    def clean(v: Column) -> Column:
-        made = {k: name(v, k) for k in ("product_name", "technical_description")} | {"hs_code": _said(text_of(v, "hs_code"))}
-        made |= {k: text_of(v, k) for k in TECHNICAL_TEXTS}
-        return F.struct(*[x.alias(k) for k, x in made.items()])
+    def named(v: Column) -> Column:
+        name = lambda said, key: F.nullif(fold(F.coalesce(F.nullif(text_of(v, key), F.lit("")), said)), F.lit(""))
+        return let(text_of(v, "description"), lambda said: F.struct(v.alias("v"), *[name(said, k).alias(k) for k in names]))
+
+    def clean(x: Column) -> Column:
+        made = {k: x[k] for k in names} | {"hs_code": _said(text_of(x["v"], "hs_code"))}
+        made |= {k: text_of(x["v"], k) for k in TECHNICAL_TEXTS}
+        return F.struct(*[y.alias(k) for k, y in made.items()])
+
+    def of_text(text: Column) -> Column:
+        found = let(_from_bracket(text), lambda t: F.when(t.rlike(r"(?s)\[.*\]"), _listed(t)).otherwise(_items_or_one(t)))
+        short = F.length(text) < 200
+
+        def of_found(items: Column) -> Column:
+            reason = F.when(items.isNotNull(), "").when(short, "refusal").otherwise("unparsable")
+            kept = F.filter(F.transform(F.filter(items, _is_object), named), lambda x: x[names[0]].isNotNull() | x[names[1]].isNotNull())
+            return F.struct(items.isNotNull().alias("is_valid"), reason.alias("reason"), F.transform(kept, clean).alias("items"))
+
+        return let(found, of_found)
 
-    short = F.length(F.coalesce(strip(c), F.lit(""))) < 200
-    reason = F.when(found.isNotNull(), "").when(short, "refusal").otherwise("unparsable")
-    return F.struct(found.isNotNull().alias("is_valid"), reason.alias("reason"), F.transform(kept, clean).alias("items"))
+    return let(F.coalesce(strip(c), F.lit("")), of_text)
 
 
 def deep_merge(base: Column, over: Column, shape: dict[str, object], path: str = "$") -> Column:

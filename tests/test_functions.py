@@ -114,3 +114,17 @@ def test_items_keep_all_fields(spark):
     assert len(item) == 13 and (item.description, item.hs_code, item.price, item.cost, item.unit, item.country_sender, item.document_date, item.quantity) == ("a b", None, 2.5, 7.0, "pcs", "DE", "1.2.2024", None)
     refused = one(spark, "I cannot help.", js.technical_items)
     assert (refused.is_valid, refused.reason) == (False, "refusal")
+
+
+def test_responses_are_parsed_once(spark):
+    """Fields of a verdict don't each parse the text again; deep repetition made J2 and J4 slow."""
+    texts = ['[{"description": "a"}]', '[{"description": " "}, 7]', "[7, 8]", '{"items": []}', "[1", "", None, "```json\n[{\"description\": \"b\"}]\n```"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, v string")
+    verdict = rows.select("k", js.invoice_verdict(F.col("v")).alias("v")).select("k", "v.is_valid", "v.reason")
+    technical = rows.select("k", js.technical_items(F.col("v")).alias("t")).select("k", "t.is_valid", "t.reason", F.posexplode_outer("t.items").alias("n", "i")).select("k", "is_valid", "reason", "n", "i.*")
+    for df, most in ((verdict, 1), (technical, 2)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("parse_json") + df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= most
+    assert [(r.is_valid, r.reason) for r in verdict.orderBy("k").collect()] == [(1, ""), (0, "no valid items"), (0, "no valid items"), (0, "not array"), (0, "invalid"), (0, "empty"), (0, "empty"), (1, "")]
+    assert [(r.k, r.is_valid, r.reason, r.n, r.product_name) for r in technical.orderBy("k", "n").collect()] == [
+        (0, True, "", 0, "a"), (1, True, "", None, None), (2, True, "", None, None), (3, True, "", None, None), (4, False, "refusal", None, None), (5, False, "refusal", None, None), (6, False, "refusal", None, None), (7, True, "", 0, "b"),
+    ]
