@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from docloom.functions import text as tx
 from docloom.functions.values import mapped
@@ -34,44 +35,57 @@ def lines(docs: DataFrame, text_col: str = "ocr_text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(tx.scan_lines(F.col(text_col))).alias("line_no", "line"))
 
 
+def _marks(line: Column) -> dict[str, Column]:
+    """What P3 and P4 ask of a line."""
+    low = F.lower(line)
+    return {"starts": line.rlike(POSITION), "tail": tx.numeric_tail(line), "marker": tx.has_any(low, dim.HEADER_MARKERS), "total": tx.has_any(low, dim.TOTAL_MARKERS)}
+
+
+def _is_table(rows: Column, tails: Column, header: Column) -> Column:
+    return ((rows >= 5) & (tails >= 3)) | ((rows >= 2) & (tails >= 2) & header)
+
+
 def table_documents(lines_: DataFrame) -> DataFrame:
     """Ids of the documents with enough position lines and numeric tails."""
-    facts = lines_.groupBy("doc_id").agg(
-        F.count_if(F.col("line").rlike(POSITION)).alias("rows"),
-        F.count_if(tx.numeric_tail(F.col("line"))).alias("tails"),
-        F.bool_or(tx.has_any(F.lower("line"), dim.HEADER_MARKERS)).alias("header"),
-    )
-    return facts.where("(rows >= 5 AND tails >= 3) OR (rows >= 2 AND tails >= 2 AND header)").select("doc_id")
+    marks = _marks(F.col("line"))
+    facts = lines_.groupBy("doc_id").agg(F.count_if(marks["starts"]).alias("rows"), F.count_if(marks["tail"]).alias("tails"), F.bool_or(marks["marker"]).alias("header"))
+    return facts.where(_is_table(F.col("rows"), F.col("tails"), F.col("header"))).select("doc_id")
+
+
+def _placed(marked: DataFrame) -> DataFrame:
+    """Lines with the block that they are in and whether a total line came."""
+    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("block", F.sum(F.col("starts").cast("int")).over(order)).withColumn("stopped", F.max("total").over(order))
 
 
 def row_blocks(lines_: DataFrame) -> DataFrame:
     """(doc_id, block, row): each position line with its continuations, up to the first total line."""
-    low = F.lower("line")
-    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines_.select(
-        "doc_id", "line_no", "line", F.col("line").rlike(POSITION).alias("starts"), tx.has_any(low, dim.TOTAL_MARKERS).alias("total"), tx.header_only(F.col("line")).alias("header")
-    )
-    placed = marked.withColumn("block", F.sum(F.col("starts").cast("int")).over(order)).withColumn("stopped", F.max("total").over(order))
-    kept = placed.where("NOT stopped AND block > 0 AND (starts OR NOT header)")
+    marks = _marks(F.col("line"))
+    marked = lines_.select("doc_id", "line_no", "line", marks["starts"].alias("starts"), marks["total"].alias("total"), tx.header_only(F.col("line")).alias("header"))
+    kept = _placed(marked).where("NOT stopped AND block > 0 AND (starts OR NOT header)")
     rows = kept.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
     return rows.select("doc_id", "block", F.array_join(F.col("parts.line"), " ").alias("row"))
 
 
+def _header(head: Column) -> dict[str, Column]:
+    """Fields of a document's first lines, joined by line breaks."""
+    found = lambda pattern, group=0: F.nullif(F.regexp_extract(head, pattern, group), F.lit(""))
+    code = F.upper(found(CURRENCY, 1))
+    sender = F.coalesce(*[F.when(F.contains(F.lower(head), F.lit(a)), F.lit(dim.SCAN_COUNTRIES[c])) for a, c in dim.SCAN_ALIASES.items()])
+    return {
+        "document_number": found(NUMBER, 1),
+        "document_date": F.coalesce(found(DATE), found(MONTH_DATE)),
+        "currency_code": code,
+        "currency_name": mapped(code, dim.SCAN_CURRENCIES),
+        "country_sender": sender,
+    }
+
+
 def header_fields(lines_: DataFrame) -> DataFrame:
     """Document number, date, currency and sender from the first lines of each document."""
     top = lines_.where(F.col("line_no") < HEADER_LINES).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
     t = top.select("doc_id", F.array_join(F.col("parts.line"), "\n").alias("head"))
-    found = lambda pattern, group=0: F.nullif(F.regexp_extract("head", pattern, group), F.lit(""))
-    code = F.upper(found(CURRENCY, 1))
-    sender = F.coalesce(*[F.when(F.contains(F.lower("head"), F.lit(a)), F.lit(dim.SCAN_COUNTRIES[c])) for a, c in dim.SCAN_ALIASES.items()])
-    return t.select(
-        "doc_id",
-        found(NUMBER, 1).alias("document_number"),
-        F.coalesce(found(DATE), found(MONTH_DATE)).alias("document_date"),
-        code.alias("currency_code"),
-        mapped(code, dim.SCAN_CURRENCIES).alias("currency_name"),
-        sender.alias("country_sender"),
-    )
+    return t.select("doc_id", *[v.alias(k) for k, v in _header(F.col("head")).items()])
 
 
 # --- one row's text, read from the right (P7-P12) ---
@@ -79,7 +93,11 @@ def header_fields(lines_: DataFrame) -> DataFrame:
 _DIGITS = re.compile(r"[\d.,]+")
 _JUNK = "()[]{};,"
 _EDGE = " -|,.;:"
-_ALIAS = [(re.compile(rf"\b{re.escape(a)}\b"), c) for a, c in dim.SCAN_ALIASES.items()]
+_ALIAS = [(a, re.compile(rf"\b{re.escape(a)}\b"), c) for a, c in dim.SCAN_ALIASES.items()]
+
+_RUN = re.compile(r"\d+")
+_HS = re.compile(HS_CODE)
+_COUNTRY = {c: (re.compile(rf"(?i)\b{c}\b"), re.compile(f"(?i){re.escape(name)}")) for c, name in dim.SCAN_COUNTRIES.items()}
 
 
 def number_value(digits: str) -> float | None:
@@ -121,7 +139,7 @@ def pop_number(tokens: list[str], most: float) -> float | None:
 
 def origin(body: str) -> tuple[str | None, str | None]:
     low = body.lower()
-    code = next((c for pattern, c in _ALIAS if pattern.search(low)), None)
+    code = next((c for alias, pattern, c in _ALIAS if alias in low and pattern.search(low)), None)
     if code is None:
         codes = (t.strip("()[]{};,.").upper() for t in body.split())
         code = next((c for c in codes if c in dim.SCAN_COUNTRIES), None)
@@ -135,7 +153,7 @@ def parse_row(row: str) -> tuple | None:
     if not body:
         return None
     country, code = origin(body)
-    hs = (re.findall(HS_CODE, body) or [None])[-1]
+    hs = (_HS.findall(body) or [None])[-1]
     tokens = body.split()
     cost = pop_number(tokens, 1e9)
     price = pop_number(tokens, 1e9)
@@ -144,25 +162,48 @@ def parse_row(row: str) -> tuple | None:
         tokens.pop()
     quantity = pop_number(tokens, 1e6)
     description = " ".join(tokens).strip(_EDGE)
-    gone = [rf"(?<!\d){hs}(?!\d)" if hs else None, rf"(?i)\b{code}\b" if code else None, f"(?i){re.escape(country)}" if country else None]
-    for pattern in filter(None, gone):
-        description = re.sub(pattern, " ", description)
+    if hs:
+        # A pattern of each row's own code would be compiled for each row.
+        description = _RUN.sub(lambda run: " " if run[0] == hs else run[0], description)
+    for pattern in _COUNTRY.get(code, ()):
+        description = pattern.sub(" ", description)
     description = " ".join(description.split()).strip(_EDGE) or " ".join(body.split()).strip(_EDGE)
     if not description:
         return None
     return int(m[1]), description, quantity, unit, cost, price, hs, country, code
 
 
-@F.pandas_udf(ITEM)
-def parse_rows(rows: pd.Series) -> pd.DataFrame:
-    parsed = [parse_row(r) or (None,) * 9 for r in rows]
-    frame = pd.DataFrame(parsed, columns=ITEM.names)
-    return frame.astype({"position": "Int32", "quantity": "float64", "cost": "float64", "price": "float64"})
+def parse_rows(rows: DataFrame) -> DataFrame:
+    """Items of (doc_id, block, own, row), each row read once; own's fields become columns."""
+    own = rows.schema["own"].dataType.fields
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["block"], *ITEM.fields, *own])
+    kinds = [{T.IntegerType(): pa.int32(), _TEXT: pa.string(), _NUMBER: pa.float64()}[f.dataType] for f in ITEM.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parsed = [parse_row(r) for r in batch.column("row").to_pylist()]
+            kept = pa.array([x is not None for x in parsed], pa.bool_())
+            columns = list(zip(*filter(None, parsed), strict=True)) or [()] * len(kinds)
+            carried = batch.filter(kept)
+            arrays = [carried.column("doc_id"), carried.column("block"), *map(pa.array, columns, kinds), *carried.column("own").flatten()]
+            yield pa.RecordBatch.from_arrays(arrays, schema.fieldNames())
+
+    return rows.select("doc_id", "block", "own", "row").mapInArrow(run, schema)
 
 
 def scan_table_items(docs: DataFrame, text_col: str = "ocr_text") -> DataFrame:
-    """Items with the header's fields, of documents that look like a scanned table."""
-    every = lines(docs, text_col)
-    tables = every.join(table_documents(every), "doc_id", "left_semi")
-    items = row_blocks(tables).withColumn("item", parse_rows("row")).where("item.description IS NOT NULL").select("doc_id", "block", "item.*")
-    return items.join(header_fields(tables), "doc_id", "left")
+    """Items with the header's fields, of documents that look like a scanned table.
+
+    The texts are read once: header fields go along with each line, and what P3 asks is counted over the lines
+    in the same pass that tells P4's blocks.
+    """
+    cut = docs.select("doc_id", tx.scan_lines(F.col(text_col)).alias("every"))
+    head = cut.select("doc_id", "every", F.array_join(F.slice("every", 1, HEADER_LINES), "\n").alias("head"))
+    own = head.select("doc_id", "every", F.struct(*[v.alias(k) for k, v in _header(F.col("head")).items()]).alias("own"))
+    each = own.select("doc_id", "own", F.posexplode("every").alias("line_no", "line"))
+    marked = each.select("doc_id", "own", "line_no", "line", *[v.alias(k) for k, v in _marks(F.col("line")).items()])
+    whole = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    facts = _is_table(F.count_if("starts").over(whole), F.count_if("tail").over(whole), F.bool_or("marker").over(whole))
+    kept = _placed(marked.withColumn("is_table", facts)).where("is_table AND NOT stopped AND block > 0 AND (starts OR NOT (marker AND NOT tail))")
+    rows = kept.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("parts"), F.first("own").alias("own"))
+    return parse_rows(rows.select("doc_id", "block", "own", F.array_join(F.col("parts.line"), " ").alias("row")))

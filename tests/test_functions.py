@@ -128,3 +128,11 @@ def test_responses_are_parsed_once(spark):
     assert [(r.k, r.is_valid, r.reason, r.n, r.product_name) for r in technical.orderBy("k", "n").collect()] == [
         (0, True, "", 0, "a"), (1, True, "", None, None), (2, True, "", None, None), (3, True, "", None, None), (4, False, "refusal", None, None), (5, False, "refusal", None, None), (6, False, "refusal", None, None), (7, True, "", 0, "b"),
     ]
+
+
+def test_scanned_texts_are_read_once(spark):
+    text = "1. Rod %d CN 8400000286 40 pcs 9286 335640"
+    docs = spark.createDataFrame([(i, "Qty\r\n" + "\r\n".join(text % n for n in range(i))) for i in range(1, 7)], "doc_id long, ocr_text string")
+    found = scan_table_items(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert sorted((r.doc_id, r.block, r.description) for r in found.collect()) == [(i, n + 1, f"Rod {n}") for i in range(2, 7) for n in range(i)]
