@@ -394,6 +394,17 @@ def test_quality_bands(spark):
     assert op7_quality.quality(docs.limit(0), labels).count() == 0
 
 
+def test_quality_learns_from_all_labelled_documents(spark):
+    rng = random.Random(6)
+    texts = {i: " ".join(prose(rng, 60)) for i in range(900)}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in texts], "doc_id long, quality int, toxic int")
+    halves = docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("trains")).where("trains").collect()
+    seen = {x for r in halves for x in np.unique(op7_quality.hashes(op7_quality.coded(texts[r.doc_id].encode()), 4)).tolist()}
+    assert len(halves) > 400
+    assert set(op7_quality.fit(docs, labels)["en"].levels[3].grams.tolist()) == seen
+
+
 # --- 8 ---
 @pytest.mark.parametrize("most_broadcast", [100_000, 0])
 def test_decontamination_equals_brute_force(spark, most_broadcast):
