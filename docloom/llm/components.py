@@ -20,14 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docloom.llm.common import Staged, arrow_map, slices, utf8_list
+from docloom.llm.common import Staged, arrow_map, bounded, slices, utf8_list
 
 #: Passes before giving up; a pass at least halves path lengths, so this is out of reach.
 MAX_PASSES = 60
+#: Buckets left apart that are broadcast; more are joined by shuffle.
+MOST_BROADCAST = 200_000
 #: Members and weight (characters or shingles) of a block.
 BLOCK, BLOCK_WEIGHT = 1024, 4_000_000
-#: Keys of larger buckets that are broadcast, 16 MB at most; more are joined by shuffle.
-MOST_BROADCAST = 1_000_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -120,33 +120,29 @@ def link_components(
     links, as ``(a, b)``; block_links does the same in Python and gets the ``carried`` columns of nodes, longs,
     to apply ``near``. Nodes in no link do not appear.
     """
-    ends = Staged(buckets.groupBy("key").agg(F.min("half").alias("lo"), F.max("half").alias("hi"), F.count("*").alias("n")).where("lo <> hi"), "ends")
-    more = ends.df.where("n > 2").select("key", "lo", "hi")
-    small = more.limit(most_broadcast + 1).count() <= most_broadcast
-    members = Staged(buckets.join(F.broadcast(more) if small else more, "key").distinct(), "members")
-    halves = ends.df.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    for end in ("lo", "hi"):
-        halves = halves.union(members.df.where(F.col("half") != F.col(end)).select(F.least("half", end), F.greatest("half", end)))
+    members = Staged(_members(buckets), "members")
+    halves = members.df.where("half <> lo").select(F.col("lo").alias("a"), F.col("half").alias("b")).union(members.df.where("half <> hi AND n > 2").select("half", "hi"))
     a, b = (nodes.select(*[F.col(c).alias({"id": x, "half": f"half_{x}"}.get(c, f"{x}_{c}")) for c in nodes.columns]) for x in "ab")
     pairs = halves.distinct().withColumnsRenamed({"a": "half_a", "b": "half_b"})
     close = Staged(pairs.join(a, "half_a").join(b, "half_b").where(near("a_", "b_")).select("a", "b"), "pairs")
-    ends.drop()
     held = Staged(texts(close.df.select(F.col("a").alias("id")).union(close.df.select("b")).distinct()), "texts")
     of_a, of_b = (held.df.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     links = Staged(confirm(close.df.join(of_b, "b").join(of_a, "a")).select("a", "b"), "links")
     labels = Staged(connected_components(links.df), "labels")
     for x in (close, held, links):
         x.drop()
-    rows = members.df.select("key", "half").join(nodes.select("half", "id", "weight", *carried), "half").join(labels.df, "id", "left").select("key", "id", "weight", F.array(*carried).cast("array<long>").alias("carried"), F.coalesce("component", "id").alias("label"))
+    rows = members.df.where("n > 3").select("key", "half").join(nodes.select("half", "id", "weight", *carried), "half").join(labels.df, "id", "left").select("key", "id", "weight", F.array(*carried).cast("array<long>").alias("carried"), F.coalesce("component", "id").alias("label"))
     each = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     apart = each.groupBy("key").agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > 3 AND top.n < n")
     blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(w / BLOCK_WEIGHT)).cast("int")
     sized = apart.select("key", F.col("top.label").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("few"), blocks(F.col("n"), F.col("w")).alias("many"))
-    open_ = Staged(rows.join(sized, "key"), "open")
-    if open_.df.isEmpty():
-        open_.drop()
+    sized = Staged(sized, "sized")
+    if sized.df.isEmpty():
+        sized.drop()
         members.drop()
         return labels.df
+    open_ = Staged(rows.join(bounded(sized.df, most_broadcast), "key"), "open")
+    sized.drop()
     members.drop()
     met = open_.df.groupBy("id").agg(F.collect_set("key").alias("met"))
     held = Staged(texts(open_.df.select("id").distinct()).join(met, "id"), "texts")
@@ -164,6 +160,37 @@ def link_components(
     return known.union(joined.join(labels.df, F.col("part") == F.col("id"), "left_anti").select("part", "whole"))
 
 
+def _members(buckets: DataFrame) -> DataFrame:
+    """(key, half, lo, hi, n): the distinct members of each bucket that has two or more, with the least, the greatest and their number."""
+    names = ["key", "half", "lo", "hi", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[part.column(c).to_numpy() for c in (0, 1)] for part in batches if part.num_rows]
+        if not parts:
+            return
+        key, half = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        # Most keys occur once; only the others are put in order by both columns.
+        order = np.argsort(key)
+        twice = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        order = order[np.union1d(twice, twice + 1)]
+        key, half = key[order], half[order]
+        order = np.lexsort((half, key))
+        key, half = key[order], half[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (half[1:] != half[:-1])
+        key, half = key[new], half[new]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        n = np.diff(np.append(first, len(key)))
+        each = np.repeat(np.arange(len(n)), n)
+        columns = (key, half, half[first][each], half[first + n - 1][each], n[each])
+        more = n[each] > 1
+        table = pa.RecordBatch.from_arrays([pa.array(c[more]) for c in columns], names)
+        yield from slices(iter([table]), 10_000)
+
+    return arrow_map(buckets.select("key", "half").repartition("key"), run, ", ".join(f"{c} long" for c in names))
+
+
 def _between(dealt: DataFrame, block_links: BlockLinks) -> DataFrame:
     """(a, b): the components that blocks, sorted by (key, i, j, side), join."""
     kind = dict(dealt.dtypes)["label"]

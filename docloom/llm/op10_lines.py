@@ -43,8 +43,8 @@ MIN_WORDS, PERCENT, BITS = 5, 80, 3
 BANDS, AGREE, SKETCHED = 10, 3, 8
 #: Bytes and samples of a band's shingles in length ranges that begin below SHORT bytes, and in longer ones.
 SHORT, SHORT_SHINGLE, LONG_SHINGLE = 48, (5, 2), (12, 2)
-#: Longer lines are compared one pair at a time, and so are those of which a table of letters would have more entries.
-LONG_LINE, MOST_TABLE = 2000, 4_000_000
+#: Blocks of 64 letters of the lines that are compared together, and the most entries of their table of letters.
+BLOCKS, MOST_TABLE = 6144, 4_000_000
 #: Characters of the grams that two lines are first compared by, and the most places of a line's table of them.
 GRAM, GRAM_PLACES = 2, 1024
 #: Shorter lines, of fewer words than MIN_WORDS, are only compared for equality.
@@ -90,10 +90,16 @@ def block_keys(blocks: np.ndarray) -> np.ndarray:
     return mix(blocks.view(np.uint64) + np.arange(blocks.shape[1], dtype=np.uint64) * _P[0]).view(np.int64)
 
 
+_KNOWN: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first ``n`` powers; those once computed are kept."""
+    if base not in _KNOWN or len(_KNOWN[base]) < n:
+        out = np.full(max(n, 1 << 18), base, np.uint64)
+        out[0] = 1
+        _KNOWN[base] = np.multiply.accumulate(out)
+    return _KNOWN[base][:n]
 
 
 def shingles(x: np.ndarray, sizes: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +147,7 @@ def line_table(docs: DataFrame, min_words: int, bits: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHash()
         for part in slices(batches, 128):
-            c1, c2, of, at, lines, words = [], [], [], [], [], []
+            digests, of, at, lines, words = [], [], [], [], []
             for i, text in enumerate(part.column(2).to_pylist()):
                 raw = text.split("\n") if text and min_words <= 0 else ()
                 for j, own in enumerate(normal_lines(text) if text else ()):
@@ -150,8 +156,7 @@ def line_table(docs: DataFrame, min_words: int, bits: int | None) -> DataFrame:
                         continue
                     lines.append(b" ".join(own) if own else b"\0" + signs)
                     words.append(own)
-                    h = xxhash.xxh3_128_intdigest(lines[-1])
-                    c1.append((h >> 64) - 2**63), c2.append((h & (2**64 - 1)) - 2**63), of.append(i), at.append(j)
+                    digests.append(xxhash.xxh3_128_digest(lines[-1])), of.append(i), at.append(j)
             if not of:
                 continue
             sizes = [len(x) if x.isascii() else len(x.decode()) for x in lines]
@@ -168,7 +173,8 @@ def line_table(docs: DataFrame, min_words: int, bits: int | None) -> DataFrame:
             has[full] = width
             offsets = pa.array(np.concatenate(([0], np.cumsum(has))), pa.int32())
             rows = pa.array(of)
-            columns = [pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), part.column(0).take(rows), part.column(1).take(rows), pa.array(at, pa.int32()), pa.array(sizes, pa.int32())]
+            c1, c2 = (np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).T.astype(np.uint64) - np.uint64(2**63)).view(np.int64)
+            columns = [pa.array(c1), pa.array(c2), part.column(0).take(rows), part.column(1).take(rows), pa.array(at, pa.int32()), pa.array(sizes, pa.int32())]
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], names)
 
     return arrow_map(docs.select("id", "row", "text"), run, f"c1 long, c2 long, id {kind}, row long, line int, size int, keys array<long>, " + ", ".join(f"s{i} long" for i in range(longs)))
@@ -228,72 +234,110 @@ def word_distance(a: str, b: str, most: int) -> int:
         else:
             cost += max(len(x[i]), len(y[j]))
             i, j = i + 1, j + 1
+    if cost > most:
+        return cost
     return cost + sum(len(w) + 1 for w in x[i:]) + sum(len(w) + 1 for w in y[j:])
 
 
-def _distances(a: list[str], b: list[str]) -> np.ndarray:
-    """Levenshtein's distance of each pair, none empty: a column of all pairs' tables at a time, 64 rows in a word (Myers 1999)."""
+def _distances(a: list[str], b: list[str], most: list[int] | None = None) -> np.ndarray:
+    """Levenshtein's distance of each pair, none empty; of a pair beyond ``most`` some number greater than that.
+
+    Myers (1999) in blocks of 64 rows of all pairs' tables. A step takes every block a column further; a block is a column
+    behind the one above, whose lower border it needs. Blocks that no path of ``most`` edits meets are left out, with borders
+    that rise by one for each letter in their place (Hyyrö 2003), and so are pairs once every path is beyond ``most``. Both
+    lines of a pair begin with as many equal letters as the first is short of whole blocks.
+    """
     n = len(a)
-    points = [np.frombuffer("".join(side).encode("utf-32-le"), np.uint32) for side in (a, b)]
-    points = np.concatenate(points)
+    sizes = [np.array([len(x) for x in side]) for side in (a, b)]
+    limit = np.maximum(*sizes) if most is None else np.array(most)
+    high = -(-int(sizes[0].max()) // 64)
+    before = 64 * high - sizes[0]
+    ends = sizes[1] + before
+    points = np.frombuffer("".join((*a, *b)).encode("utf-32-le"), np.uint32)
     letters = np.flatnonzero(np.bincount(points))
     code = np.zeros(letters[-1] + 1, np.int64)
-    code[letters] = np.arange(len(letters))
-    codes = code[points]
-    sizes = [np.array([len(x) for x in side]) for side in (a, b)]
+    code[letters] = np.arange(1, len(letters) + 1)
     table = []
-    for length, own in zip(sizes, np.split(codes, [sizes[0].sum()]), strict=True):
-        at = np.arange(length.max()) < length[:, None]
-        # Beyond a line's end stands a letter that no line has.
-        full = np.full(at.shape, len(letters))
-        full[at] = own
+    for length, own in zip(sizes, np.split(code[points], [sizes[0].sum()]), strict=True):
+        place = np.arange((length + before).max())
+        full = np.zeros((n, len(place)), np.int64)
+        full[(place >= before[:, None]) & (place < (length + before)[:, None])] = own
         table.append(full.T)
-    words = -(-len(table[0]) // 64)
-    same = np.zeros((len(letters) + 1, n, words), np.uint64)
-    each = np.arange(n)
-    for i, letter in enumerate(table[0]):
-        same[letter, each, i // 64] |= np.uint64(1 << i % 64)
-    same[-1] = 0
+    rows, other = table[0], np.ascontiguousarray(table[1][::-1])
+    same = np.zeros((len(letters) + 1, high, n), np.uint64)
+    block, each = np.arange(high)[:, None], np.arange(n)
+    for bit in range(64):
+        same[rows[bit::64], block, each] |= np.uint64(1 << bit)
     one, top = np.uint64(1), np.uint64(63)
-    up, down = [np.full(n, 2**64 - 1, np.uint64) for _ in range(words)], [np.zeros(n, np.uint64) for _ in range(words)]
-    rows = np.clip(sizes[0][None, :] - 64 * np.arange(words)[:, None], 0, 64)
-    inside = np.where(rows == 64, np.uint64(2**64 - 1), (one << (rows % 64).astype(np.uint64)) - one)
-    out = np.zeros(n, np.int64)
-    for j, letter in enumerate(table[1]):
-        level = same[letter, each]
-        plus_in, minus_in = np.ones(n, np.uint64), np.zeros(n, np.uint64)
-        for w in range(words):
-            equal, rise, fall = level[:, w], up[w], down[w]
-            across = equal | fall
-            equal = equal | minus_in
-            along = (((equal & rise) + rise) ^ rise) | equal
-            plus, minus = fall | ~(along | rise), rise & along
-            plus_out, minus_out = plus >> top, minus >> top
-            plus, minus = plus << one | plus_in, minus << one | minus_in
-            up[w], down[w] = minus | ~(across | plus), plus & across
-            plus_in, minus_in = plus_out, minus_out
-        if (done := sizes[1] == j + 1).any():
-            steps = sum(np.bitwise_count(up[w] & inside[w]).astype(np.int64) - np.bitwise_count(down[w] & inside[w]) for w in range(words))
-            out[done] = j + 1 + steps[done]
+    up, down = np.full((high, n), 2**64 - 1, np.uint64), np.zeros((high, n), np.uint64)
+    rise, fall = np.ones((high + 1, n), np.uint64), np.zeros((high + 1, n), np.uint64)
+    out, alive, bottom = limit + 1, each, np.zeros(n, np.int64)
+    columns, reach, last, deep = len(other), int(limit.max()), 0, 0
+    for step in range(columns + high - 1):
+        lo = max(0, step - columns + 1, -((64 + reach - step) // 65))
+        hi = min(high, step + 1, (step + 1 + reach) // 65 + 1)
+        if lo >= hi:
+            break
+        if 0 < lo == last:
+            rise[lo], fall[lo] = 1, 0
+        if hi > deep:
+            bottom = bottom + 64 - (rise[hi - 1] - fall[hi - 1]).view(np.int64) if step else bottom + 64
+        last, deep = lo, hi
+        at = other[columns - 1 - step + lo : columns - 1 - step + hi] * (high * n) + np.arange(lo * n, hi * n).reshape(-1, n)
+        equal = same.reshape(-1)[at]
+        was_up, was_down = up[lo:hi], down[lo:hi]
+        across = equal | was_down
+        equal |= fall[lo:hi]
+        along = (((equal & was_up) + was_up) ^ was_up) | equal
+        plus, minus = was_down | ~(along | was_up), was_up & along
+        plus_out, minus_out = plus >> top, minus >> top
+        plus, minus = plus << one | rise[lo:hi], minus << one | fall[lo:hi]
+        up[lo:hi], down[lo:hi] = minus | ~(across | plus), plus & across
+        rise[lo + 1 : hi + 1], fall[lo + 1 : hi + 1] = plus_out, minus_out
+        bottom = bottom + (plus_out[-1] - minus_out[-1]).view(np.int64)
+        column = step - hi + 2
+        if hi == high and (done := ends == column).any():
+            out[alive[done]] = bottom[done]
+        if step % 64 == 63:
+            ups = np.bitwise_count(up[lo:hi]).astype(np.int64)
+            # What each block's lower border is below the next one's; the least number in a block is that less its rises.
+            less = (ups - np.bitwise_count(down[lo:hi]) - (rise[lo:hi] - fall[lo:hi]).view(np.int64))[:0:-1]
+            border = bottom - np.concatenate((np.zeros((1, n), np.int64), np.cumsum(less, axis=0)))
+            stay = (border - ups[::-1]).min(axis=0) - 1 <= limit
+            if hi == high:
+                stay &= ends > column
+            if 4 * stay.sum() <= 3 * n:
+                if not stay.any():
+                    break
+                alive, limit, ends, bottom, n = alive[stay], limit[stay], ends[stay], bottom[stay], int(stay.sum())
+                other, same, up, down, rise, fall = (np.ascontiguousarray(x[..., stay]) for x in (other, same, up, down, rise, fall))
     return out
 
 
 def edits_within(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
     """Whether each pair's edit distance is at most ``most``; pairs of like lengths are compared together."""
     out = np.zeros(len(a), bool)
-    order = sorted((i for i in range(len(a)) if abs(len(a[i]) - len(b[i])) <= most[i]), key=lambda i: (len(a[i]), len(b[i])))
+    left = []
+    for i, (x, y, n) in enumerate(zip(a, b, most, strict=True)):
+        if abs(len(x) - len(y)) <= n:
+            out[i] = word_distance(x, y, n) <= n
+            if not out[i]:
+                left.append(i)
+    left.sort(key=lambda i: (len(a[i]), len(b[i])))
     at = 0
-    while at < len(order):
-        words = len(a[order[at]]) // 64 + 1
-        end = bisect.bisect_left(order, 64 * words, at, min(len(order), at + 2048), key=lambda i: len(a[i]))
-        own = order[at:end]
-        at = end
-        left, right, limit = ([x[i] for i in own] for x in (a, b, most))
-        letters = len(set().union(*left, *right)) if len(own) > 8 * words else 0
-        if letters and words <= LONG_LINE // 64 and letters * words * len(own) <= MOST_TABLE and left[0] and min(map(len, right)):
-            out[own] = _distances(left, right) <= np.array(limit)
+    while at < len(left):
+        words = len(a[left[at]]) // 64 + 1
+        words += words // 8
+        end = bisect.bisect_right(left, 64 * words, at, min(len(left), at + max(1, BLOCKS // words)), key=lambda i: len(a[i]))
+        own = left[at:end]
+        letters = len(set().union(*(x[i] for i in own for x in (a, b)))) + 1
+        own = own[: max(1, MOST_TABLE // (letters * words))]
+        at += len(own)
+        first, second, limit = ([x[i] for i in own] for x in (a, b, most))
+        if len(own) * (44 + words) > 800 and letters * words * len(own) <= MOST_TABLE and first[0] and all(second):
+            out[own] = _distances(first, second, limit) <= np.array(limit)
         else:
-            out[own] = [word_distance(x, y, n) <= n or edit_distance(x, y) <= n for x, y, n in zip(left, right, limit, strict=True)]
+            out[own] = [edit_distance(x, y) <= n for x, y, n in zip(first, second, limit, strict=True)]
     return out
 
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import op1_secrets, op2_brown, op3_license, op4_minhash, op5_suffix, op6_mixing, op7_quality, op8_decontaminate, op9_language, op10_lines
-from docloom.llm.components import connected_components, link_components
+from docloom.llm.components import _members, connected_components, link_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, word string"
 
@@ -536,6 +536,29 @@ def test_line_dedup_edge_rows(spark):
     assert op10_lines.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_distances_within_a_bound():
+    """Only the blocks within the bound are filled, and pairs beyond it end early; distances within it are exact."""
+    rng = random.Random(8)
+    left = ["".join(rng.choices("abcdef ", k=rng.choice((1, 63, 64, 65, 300, 700)))) for _ in range(60)]
+    right = []
+    for x in left:
+        cut = len(x) // 2
+        right.append(rng.choice((x[cut:] + x[:cut], "".join(c for c in x if rng.random() > 0.1), "z" * rng.randrange(9) + x)) or "a")
+    apart = [op10_lines.edit_distance(a, b) for a, b in zip(left, right)]
+    for percent in (0, 5, 20, 60):
+        most = [max(len(a), len(b)) * percent // 100 for a, b in zip(left, right)]
+        got = op10_lines._distances(left, right, most).tolist()
+        assert all(g == d if d <= n else g > n for g, d, n in zip(got, apart, most))
+
+
+def test_bucket_members_are_distinct(spark):
+    """Copies in a bucket count once, and a bucket of one member and its copies is none."""
+    rows = [(1, 5), (1, 5), (2, 7), (2, 6), (2, 7), (3, 9), (4, 1), (4, 2), (4, 3), (4, 4)]
+    got = _members(spark.createDataFrame(rows, "key long, half long")).collect()
+    assert sorted(map(tuple, got)) == [(2, 6, 6, 7, 2), (2, 7, 6, 7, 2), *((4, i, 1, 4, 4) for i in (1, 2, 3, 4))]
+    assert _members(spark.createDataFrame([], "key long, half long")).count() == 0
+
+
 def test_lines_are_linked_by_edit_similarity_alone(spark):
     """Recall of the bands against edit similarity of all pairs, without a SimHash."""
     rng = random.Random(12)
