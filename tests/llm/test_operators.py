@@ -406,6 +406,33 @@ def test_quality_learns_from_all_labelled_documents(spark):
 
 
 # --- 8 ---
+def test_quality_scores_texts_together():
+    """Texts that are scored together score as each alone by the definition, and no n-gram spans two texts."""
+    rng = random.Random(5)
+    codes = [op7_quality.coded(" ".join(prose(rng, n)).encode()) for n in (1, 3, 40, 200, 7)]
+    grams = [[op7_quality.hashes(c, n)[4 - n :] for c in codes[2:4]] for n in range(1, 5)]
+    befores = [[op7_quality.hashes(c, n - 1)[4 - n : len(c) - n + 1] for c in codes[2:4]] for n in range(1, 5)]
+    counts = []
+    for g, c in zip(grams, befores):
+        own, at, n = np.unique(np.concatenate(g), return_index=True, return_counts=True)
+        counts.append((own, np.concatenate(c)[at], n))
+    models = {"en": op7_quality.kneser_ney(counts, 1000)}
+
+    def alone(c: np.ndarray) -> float:
+        total = 0.0
+        for end in range(3, len(c)):
+            p = models["en"].uniform
+            for n, level in enumerate(models["en"].levels, 1):
+                gram, context = int(op7_quality.hashes(c[end - n + 1 : end + 1], n)[0]), int(op7_quality.hashes(c[end - n + 1 : end + 1], n - 1)[0])
+                p = dict(zip(level.grams.tolist(), level.own.tolist())).get(gram, 0.0) + dict(zip(level.contexts.tolist(), level.weight.tolist())).get(context, 1.0) * p
+            total += math.log(p)
+        return total
+
+    got = op7_quality.scored(models, [("en", c) for c in codes])
+    assert [len(x) for x in got] == [len(c) - 3 for c in codes]
+    assert [float(x.sum()) for x in got] == pytest.approx([alone(c) for c in codes], rel=1e-9)
+
+
 @pytest.mark.parametrize("most_broadcast", [100_000, 0])
 def test_decontamination_equals_brute_force(spark, most_broadcast):
     rng = random.Random(6)
