@@ -97,8 +97,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, languages: t
         yield pa.RecordBatch.from_arrays([pa.array(half), pa.array(at), pa.array(lang), pa.array(seen[half, at, lang])], ["half", "slot", "lang", "n"])
 
     if sample is not None:
-        for r in arrow_map(sample, counts, "half long, slot long, lang long, n long").groupBy("half", "slot", "lang").agg(F.sum("n").alias("n")).collect():
-            table[r.half, r.slot, r.lang] += r.n
+        # By columns: a Python object for each of the counts would cost the driver some hundred bytes each.
+        met = arrow_map(sample, counts, "half long, slot long, lang long, n long").groupBy("half", "slot", "lang").agg(F.sum("n").alias("n")).toArrow()
+        half, at, lang, n = (met.column(c).to_numpy() for c in ("half", "slot", "lang", "n"))
+        table[half, at, lang] += n
     logs = lambda t: np.log(t / t.sum(0)).astype(np.float32)
     return logs(table.sum(0)), floors(sample, logs(table[0] + 0.25), logs(table[1] + 0.25), languages)
 

@@ -475,6 +475,21 @@ def tongues(rng, n):
     return rows
 
 
+def test_language_counts_reach_the_driver_as_columns(spark, monkeypatch):
+    """The counts of the model, tens of thousands, are no Python objects in the driver."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(prose(rng, 60)), "en") for i in range(40)], "doc_id long, text string, lang string")
+    rows = []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: rows.append(collect(df)) or rows[-1])
+    model, _ = op9_language.fit(docs, "doc_id", "text", "lang", ("en", "fr"), 400)
+    table = np.full((op9_language.SLOTS, 2), 0.5)
+    for r in docs.toArrow().to_pylist():
+        table[:, 0] += np.bincount(op9_language.slots(r["text"].encode()), minlength=op9_language.SLOTS)
+    assert np.allclose(model, np.log(table / table.sum(0)), atol=1e-5)
+    assert max(map(len, rows)) <= 40
+
+
 def test_language_id_held_out_accuracy_and_fusion(spark):
     rows = tongues(random.Random(8), 200)
     labelled = spark.createDataFrame(rows[:100], "doc_id long, text string, lang string, source string")
