@@ -200,7 +200,8 @@ def identify(rows: DataFrame, labelled: DataFrame, languages: tuple[str, ...] =
     """rows (id, text, declared, host) -> id, lang, confidence, declared, known: one row per input row."""
     languages = tuple(sorted(languages))
     model, limits = fit(labelled, label_id, label_text, label_lang, languages, per_language)
-    fused = fuse(stage(evidence(rows, model, limits, languages, is_html), "evidence"), languages)
+    # Staged, else the choice below repeats the posteriors' terms until the generated code no longer compiles.
+    fused = stage(fuse(stage(evidence(rows, model, limits, languages, is_html), "evidence"), languages), "fused")
     best = F.greatest(*[F.col(f"p{i}") for i in range(len(languages) + 1)])
     lang = F.lit(OTHER)
     for i in reversed(range(len(languages))):

@@ -490,6 +490,16 @@ def test_language_counts_reach_the_driver_as_columns(spark, monkeypatch):
     assert max(map(len, rows)) <= 40
 
 
+def test_language_code_compiles(spark):
+    """With the posteriors' terms repeated in the choice, generated code exceeded 64 KB and Spark fell back."""
+    docs = spark.createDataFrame([(i, "the house of the rising sun", "en", "a") for i in range(4)], "doc_id long, text string, lang string, source string")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert op9_language.keep_identified(docs).count() <= 4
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def test_language_id_held_out_accuracy_and_fusion(spark):
     rows = tongues(random.Random(8), 200)
     labelled = spark.createDataFrame(rows[:100], "doc_id long, text string, lang string, source string")
