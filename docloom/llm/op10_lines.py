@@ -8,9 +8,10 @@ Levenshtein distance / longer length, is ``percent`` or more. Of each connected
 first occurrence, by doc_id and line number, is kept and every other line is removed.
 
 With ``bits`` None, as in the query and the pipeline, no SimHash stands before the edit check, since lines
-that differ in a word are seldom within three bits (README has figures). Candidates then share one of
-``BANDS`` MinHash bands of byte shingles, of lengths in the same range, whose borders move with the band,
-and one sample more. Edit similarity alone makes the link.
+that differ in a word are seldom within three bits (README has figures). Candidates then share a MinHash band
+of byte shingles, met in the same part of lines whose lengths are in the same range, and two of 16 samples;
+the borders of parts and ranges move with the band. Without the parts, lines that only share common syllables
+would fill the buckets, and their pairs grow with the square of the input. Edit similarity alone makes the link.
 
 Lines of fewer than ``min_words`` normalised words are never removed. With ``min_words`` 0, as in the
 query and the pipeline, all lines but blank ones take part: those of five words or, as scripts without
@@ -39,10 +40,14 @@ from docloom.llm.components import Groups, Side, link_components
 from docloom.llm.op4_minhash import WordHash, mix
 
 MIN_WORDS, PERCENT, BITS = 5, 80, 3
-#: MinHash bands, and the samples of two lines that must agree, out of two of each of the first SKETCHED bands.
-BANDS, AGREE, SKETCHED = 10, 3, 8
-#: Bytes and samples of a band's shingles in length ranges that begin below SHORT bytes, and in longer ones.
-SHORT, SHORT_SHINGLE, LONG_SHINGLE = 48, (5, 2), (12, 2)
+#: Samples of a MinHash band, those of two lines that must agree, and the bands that these are of.
+SAMPLES, AGREE, SKETCHED = 2, 2, 8
+#: Bytes of shingles, bands, and parts of a line in which a sample is met, in length ranges that begin below SHORT bytes, and in longer ones.
+SHORT, SHORT_BANDS, LONG_BANDS = 48, (6, 24, 6), (12, 13, 8)
+#: Bytes of the shingles of short lines whose samples must agree.
+SKETCH_SHINGLE = 5
+#: Bits of a sample that tell its place in the line, below those of its hash.
+PLACE_BITS = 10
 #: Blocks of 64 letters of the lines that are compared together, and the most entries of their table of letters.
 BLOCKS, MOST_TABLE = 6144, 4_000_000
 #: Characters of the grams that two lines are first compared by, and the most places of a line's table of them.
@@ -51,7 +56,8 @@ GRAM, GRAM_PLACES = 2, 1024
 LEAST_CHARS = 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240310))
-_A = _RNG.integers(0, 2**32, (BANDS, 2), dtype=np.uint32) | np.uint32(1)
+_A = (_RNG.integers(0, 2**32, (max(SHORT_BANDS[1], LONG_BANDS[1]), SAMPLES), dtype=np.uint32) | np.uint32(1)) << np.uint32(PLACE_BITS)
+_BORDERS = _RNG.integers(0, 2**PLACE_BITS, _A.shape, dtype=np.uint32)
 _P = _RNG.integers(0, 2**63, 6, dtype=np.uint64) | np.uint64(1)
 #: A base of polynomial hashes and its inverse.
 _BASE = 0x9E3779B97F4A7C15
@@ -112,29 +118,59 @@ def shingles(x: np.ndarray, sizes: np.ndarray, q: int) -> tuple[np.ndarray, np.n
     return (h[inside] >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], np.cumsum(sizes - q + 1)[:-1]))
 
 
+class _Sampler:
+    """MinHash samples of lines: the least hash of their q-byte shingles and, in its lowest PLACE_BITS, where it is first met."""
+
+    def __init__(self, lines: list[bytes], q: int):
+        sizes = np.maximum([len(x) for x in lines], q)
+        self.x, self.first = shingles(np.frombuffer(b"".join([x.ljust(q) for x in lines]), np.uint8), sizes, q)
+        n = sizes - q + 1
+        self.place = (((np.arange(len(self.x)) - np.repeat(self.first, n)) << PLACE_BITS) // np.repeat(n, n)).astype(np.uint32)
+        self.work = np.empty_like(self.x)
+
+    def least(self, k: int, r: int) -> np.ndarray:
+        np.multiply(self.x, _A[k, r], out=self.work)
+        np.bitwise_or(self.work, self.place, out=self.work)
+        return np.minimum.reduceat(self.work, self.first)
+
+
+def _low_byte(least: np.ndarray) -> np.ndarray:
+    """The lowest byte of samples' hashes."""
+    return (least >> np.uint32(PLACE_BITS)).astype(np.uint8)
+
+
 def bands(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (line, band) and sketches (line, 2) of 16 samples' low bytes; both int64."""
-    sizes = np.array([len(x) for x in lines])
-    keys, bytes_ = np.empty((len(lines), BANDS), np.int64), np.empty((len(lines), SKETCHED, 2), np.uint8)
-    log = np.log2(np.maximum(sizes, 1))
-    span = np.floor(log[:, None] + np.arange(BANDS)[None, :] / BANDS)
-    short = 2 ** (span - np.arange(BANDS)[None, :] / BANDS) < SHORT
-    for is_short, (q, rows) in ((True, SHORT_SHINGLE), (False, LONG_SHINGLE)):
-        own = np.flatnonzero((short == is_short).any(axis=1))
-        if not len(own):
-            continue
-        padded = [lines[i].ljust(q) for i in own]
-        x, first = shingles(np.frombuffer(b"".join(padded), np.uint8), np.maximum(sizes[own], q), q)
-        for k in range(BANDS):
-            here = short[own, k] == is_short
+    """Band keys (line, band) and sketches (line, 2) of 16 samples' low bytes; both int64. In place of a key that a line lacks is its last before, or its first."""
+    log = np.log2(np.maximum([len(x) for x in lines], 1))
+    bytes_ = np.empty((len(lines), SKETCHED, SAMPLES), np.uint8)
+    all_keys, all_here = [], []
+    for is_short, (q, n, parts) in ((True, SHORT_BANDS), (False, LONG_BANDS)):
+        shift = np.arange(n)[None, :] / n
+        span = np.floor(log[:, None] + shift)
+        here = (2 ** (span - shift) < SHORT) == is_short
+        keys = np.zeros((len(lines), n), np.int64)
+        all_keys.append(keys), all_here.append(here)
+        own = np.flatnonzero(here.any(axis=1))
+        sampler = _Sampler([lines[i] for i in own], q) if len(own) else None
+        for k in range(n if len(own) else 0):
             key = mix(span[own, k].astype(np.int64).view(np.uint64) * _P[3] + np.uint64((2 * k + is_short) * int(_P[4]) % 2**64))
-            for r in range(rows):
-                least = np.minimum.reduceat(x * _A[k, r], first)
-                key = mix(key * _P[5] + least)
-                if k < SKETCHED:
-                    bytes_[own[here], k, r] = (least[here] >> np.uint32(8)).astype(np.uint8)
-            keys[own[here], k] = key[here].view(np.int64)
-    return keys, bytes_.reshape(len(lines), 2 * SKETCHED).view(np.int64)
+            for r in range(SAMPLES):
+                least = sampler.least(k, r)
+                part = ((least & np.uint32(2**PLACE_BITS - 1)) * np.uint32(parts) + _BORDERS[k, r]) >> np.uint32(PLACE_BITS)
+                key = mix(key * _P[5] + ((least >> np.uint32(PLACE_BITS)).astype(np.uint64) << np.uint64(8) | part))
+                if k < SKETCHED and not is_short:
+                    bytes_[own, k, r] = _low_byte(least)
+            keys[own, k] = key.view(np.int64)
+    short = ~all_here[1][:, :SKETCHED]
+    if len(own := np.flatnonzero(short.any(axis=1))):
+        sampler = _Sampler([lines[i] for i in own], SKETCH_SHINGLE)
+        for k in range(SKETCHED):
+            for r in range(SAMPLES):
+                bytes_[own[short[own, k]], k, r] = _low_byte(sampler.least(k, r))[short[own, k]]
+    keys, here = np.concatenate(all_keys, axis=1), np.concatenate(all_here, axis=1)
+    last = np.maximum.accumulate(np.where(here, np.arange(here.shape[1]), -1), axis=1)
+    keys = np.take_along_axis(keys, np.where(last < 0, here.argmax(axis=1)[:, None], last), axis=1)
+    return keys, bytes_.reshape(len(lines), SAMPLES * SKETCHED).view(np.int64)
 
 
 def line_table(docs: DataFrame, min_words: int, bits: int | None) -> DataFrame:
@@ -161,21 +197,23 @@ def line_table(docs: DataFrame, min_words: int, bits: int | None) -> DataFrame:
                 continue
             sizes = [len(x) if x.isascii() else len(x.decode()) for x in lines]
             full = [i for i, (n, own) in enumerate(zip(sizes, words, strict=True)) if own and (n >= LEAST_CHARS or len(own) >= MIN_WORDS)]
-            width = BANDS if bits is None else 4
-            keys, sketch = np.empty((0, width), np.int64), np.zeros((len(lines), longs), np.int64)
+            keys, sketch = np.empty((0, 1), np.int64), np.zeros((len(lines), longs), np.int64)
             if full and bits is None:
                 keys, sketch[full] = bands([lines[i] for i in full])
             elif full:
                 counts = [len(words[i]) for i in full]
                 sketch[full] = simhashes(np.repeat(np.arange(len(full)), counts), hashed([w for i in full for w in words[i]]), len(full))
                 keys = block_keys(sketch[full])
+            # A key equal to the one before stands for none.
+            new = np.ones(keys.shape, bool)
+            new[:, 1:] = keys[:, 1:] != keys[:, :-1]
             has = np.zeros(len(lines), np.int32)
-            has[full] = width
+            has[full] = new.sum(axis=1)
             offsets = pa.array(np.concatenate(([0], np.cumsum(has))), pa.int32())
             rows = pa.array(of)
             c1, c2 = (np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).T.astype(np.uint64) - np.uint64(2**63)).view(np.int64)
             columns = [pa.array(c1), pa.array(c2), part.column(0).take(rows), part.column(1).take(rows), pa.array(at, pa.int32()), pa.array(sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(keys[new])), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], names)
 
     return arrow_map(docs.select("id", "row", "text"), run, f"c1 long, c2 long, id {kind}, row long, line int, size int, keys array<long>, " + ", ".join(f"s{i} long" for i in range(longs)))
 
@@ -395,7 +433,7 @@ def block_lines(percent: int, bits: int | None):
             grams_a, grams_b = gram_table(a, places), gram_table(b, places)
             for i, line in enumerate(a):
                 apart = near[i] ^ far
-                fits = np.bitwise_count(apart).sum(axis=1) <= bits if bits is not None else (apart.view(np.uint8) != 0).sum(axis=1) <= 2 * SKETCHED - AGREE
+                fits = np.bitwise_count(apart).sum(axis=1) <= bits if bits is not None else (apart.view(np.uint8) != 0).sum(axis=1) <= SAMPLES * SKETCHED - AGREE
                 most = np.maximum(len(line), sizes) * (100 - percent) // 100
                 fits &= np.abs(len(line) - sizes) <= most
                 ids = np.flatnonzero(fits)
@@ -429,7 +467,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PE
         apart = [F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in sketch]
         if bits is not None:
             return fits & (sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0])) <= bits)
-        return fits & (_unequal_bytes(apart[0]) + _unequal_bytes(apart[1]) <= 2 * SKETCHED - AGREE)
+        return fits & (_unequal_bytes(apart[0]) + _unequal_bytes(apart[1]) <= SAMPLES * SKETCHED - AGREE)
 
     def texts(ids: DataFrame) -> DataFrame:
         asked = classes.select(node.alias("id"), F.col("first.id").alias("of"), F.col("first.row").alias("row"), F.col("first.line").alias("line"))

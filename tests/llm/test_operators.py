@@ -670,6 +670,17 @@ def test_line_recall_against_edit_similarity():
     assert near.sum() > 1000 and (((ka == kb).any(axis=1)) & (agree >= op10_lines.AGREE))[near].mean() >= 0.9
 
 
+def test_lines_of_common_syllables_share_few_bands():
+    """Lines that are not similar but share syllables and short words meet in few buckets."""
+    rng = random.Random(23)
+    common, parts = ("the", "of", "and", "to", "in", "that"), ("th", "he", "an", "er", "in", "on", "re", "nd", "ea", "ti", "ble", "ing", "tion", "st", "en", "ou", "wh", "ly")
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice(parts) for _ in range(rng.randrange(2, 5)))
+    lines = [" ".join(word() for _ in range(rng.randrange(8, 13))).encode() for _ in range(4000)]
+    keys, _ = op10_lines.bands(lines)
+    held = Counter(k for own in keys.tolist() for k in set(own))
+    assert sum(n * (n - 1) // 2 for n in held.values()) < 5000
+
+
 def test_line_dedup_of_texts_that_share_an_id(spark):
     line, own = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
     rows = [(3, line, 1), (5, line, 2), (5, own, 3), (5, own + "\n" + line, 4)]
